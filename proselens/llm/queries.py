@@ -6,10 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import decontamination
+from .decontamination import op4_decontamination
+from .pieces import op7_pieces
+from .sharding import op3_sharding
 from .toxicity import op1_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
+    "op3_sharding": op3_sharding,
+    "op4_decontamination": op4_decontamination,
+    "op7_pieces": op7_pieces,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op4_decontamination": decontamination.ORACLE,
+}
