@@ -6,19 +6,26 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination
+from . import decontamination, licenses
 from .decontamination import op4_decontamination
+from .licenses import op10_licenses
+from .line_dedup import op5_line_dedup
+from .near_dedup import op2_near_dedup
 from .pieces import op7_pieces
 from .sharding import op3_sharding
 from .toxicity import op1_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
+    "op2_near_dedup": op2_near_dedup,
     "op3_sharding": op3_sharding,
     "op4_decontamination": op4_decontamination,
+    "op5_line_dedup": op5_line_dedup,
     "op7_pieces": op7_pieces,
+    "op10_licenses": op10_licenses,
 }
 
 ORACLES: dict[str, str] = {
     "op4_decontamination": decontamination.ORACLE,
+    "op10_licenses": licenses.ORACLE,
 }
