@@ -6,12 +6,14 @@ lines are near when their word edit distance is at most one (a word replaced, ad
 "earlier" is by document id, then by line number, and also a line that goes itself counts.  Lines without words stay.
 
 1. Equal lines: occurrences are counted into distinct lines by two 64-bit hashes, each with its earliest place.
-2. Coarse keys: lines one edit apart share their first or their last words, as the edit cannot stand in both; distinct
-   lines that share neither with another line are done.
-3. Neighbourhood: the others emit the hashed key of every variant with one word deleted, and of the gaps where another
-   line may have a word more: a key is the hash of what stands before the place and of what stands after it.  Hashes
-   of whole blocks of words are reused, so that a line of n words costs about n * (n / BLOCK + BLOCK), not n * n.
-   Lines of one key are all within one edit of each other, so each is linked to the earliest of them, not to all.
+2. Coarse keys: a line is thought of as four blocks of words, counted from its start and from its end.  One edit stands
+   in one of them, so lines one edit apart agree on the other three: a line has one key for each three blocks.
+   Distinct lines that share no key with another line are done.
+3. Neighbourhood: within the block that a shared key leaves open, a line emits the hashed key of every variant with
+   one word deleted, and of the gaps where another line may have a word more: a key is the hash of what stands before
+   the place and of what stands after it.  Hashes of runs of words are reused, so that a line of n words costs about
+   n * (n / BLOCK + BLOCK), not n * n.  Lines of one key are all within one edit of each other, so each is linked to
+   the earliest of them, not to all.
 4. Verification: of each link, the words of both lines before the place and after it are compared.
 5. What remains of each document is put together again.
 
@@ -20,7 +22,7 @@ sort-merge joins that are divided when skewed.  Texts are shuffled at most twice
 
 Defined cases: a null text counts as empty and stays null; an empty text stays; a document of which every line goes
 is returned with an empty text (``deduplicated`` tells it by n_kept = 0 and n_removed > 0); rows that are equal in id
-and text are treated alike; very long lines are compared whole; other columns are kept; an empty table gives an empty
+and text are treated alike, and lines at the same place of rows of one id are equally early; very long lines are compared whole; other columns are kept; an empty table gives an empty
 result.
 """
 
@@ -33,39 +35,44 @@ from .common import cut, table
 
 MIN_WORDS = 8
 BLOCK = 32
-STEP = 16
+STEP = 8
 _SPACE = " \t\r\x0b\x0c"
+_UNEVEN = f"[{_SPACE[1:]}]|  "
+_PLACE = "decimal(38,0)"
+_LINES = 10**10
 
 
-def words_of(line: Column) -> Column:
-    """The words of a line; a line without words has none."""
+def _bare(line: Column) -> Column:
+    """The words of a line with one blank between them."""
     bare = F.btrim(line, F.lit(_SPACE))
-    return F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, f"[{_SPACE}]+"))
+    return F.when(bare.rlike(_UNEVEN), F.regexp_replace(bare, f"[{_SPACE}]+", " ")).otherwise(bare)
 
 
-def _part(n: Column) -> Column:
-    """How many first and last words of a line of n words make its coarse keys: at most half, the same over runs of n."""
-    return F.when(n < STEP, F.lit(MIN_WORDS // 2)).otherwise(F.floor(n / STEP).cast("int") * (STEP // 2))
+def _key_columns(w: Column, n: Column) -> list[Column]:
+    """Eight coarse keys, null where there are none; the last four are for lines whose length begins a new block size."""
 
+    def keys(m: Column, there: Column) -> list[Column]:
+        b = _block(m)
+        return [F.when(there, F.xxhash64(F.lit(j), b, F.slice(w, 1, b * j), F.slice(w, n - b * (3 - j) + 1, b * (3 - j)))) for j in range(4)]
 
-def _coarse(w: Column, n: Column) -> Column:
-    """Coarse keys as array of (key, side, part); lines at the end of a run of lengths have those of the run before too."""
+    return keys(n, n >= MIN_WORDS) + keys(n - 1, (n % STEP == 0) & (n > MIN_WORDS))
 
-    def keys(part: Column) -> list[Column]:
-        first = F.struct(F.xxhash64(F.lit("first"), part, F.slice(w, 1, part)).alias("key"), F.lit(0).alias("side"), part.alias("part"))
-        last = F.struct(F.xxhash64(F.lit("last"), part, F.slice(w, n - part + 1, part)).alias("key"), F.lit(1).alias("side"), part.alias("part"))
-        return [first, last]
 
-    both = F.array(*keys(_part(n)))
-    return F.when(n < MIN_WORDS, None).when((n % STEP == 0) & (n > MIN_WORDS), F.array(*keys(_part(n)), *keys(_part(n - 1)))).otherwise(both)
+def _block(n: Column) -> Column:
+    """The words in each of three blocks of a line of n words; the fourth has the rest.  The same over runs of n."""
+    return F.floor(n / STEP).cast("int") * 2
 
 
-def _occurrences(docs: DataFrame, keys: bool) -> DataFrame:
-    """(doc_id, t, line_no, h, g, n): all lines with words; t: hash of the text, h and g: hashes of the words."""
+def _order(doc_id: Column, line_no: Column) -> Column:
+    """Where a line stands among all, as one number; a null id is before all others."""
+    return (F.coalesce(doc_id.cast("decimal(19,0)"), F.lit(-(2**63)).cast("decimal(19,0)")) * F.lit(_LINES).cast("decimal(11,0)") + line_no).cast(_PLACE)
+
+
+def _occurrences(docs: DataFrame) -> DataFrame:
+    """(doc_id, t, line_no, bare, h, g): all lines with words; t: hash of the text, h and g: hashes of the line's words."""
     lines = docs.select("doc_id", F.xxhash64("text").alias("t"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    worded = lines.select("doc_id", "t", "line_no", words_of(F.col("line")).alias("w")).where(F.size("w") > 0).withColumn("n", F.size("w"))
-    extra = [_coarse(F.col("w"), F.col("n")).alias("keys")] if keys else []
-    return worded.select("doc_id", "t", "line_no", "n", F.xxhash64("w").alias("h"), F.xxhash64(F.lit(7), "w").alias("g"), *extra)
+    worded = lines.select("doc_id", "t", "line_no", _bare(F.col("line")).alias("bare")).where("bare <> ''")
+    return worded.withColumns({"h": F.xxhash64("bare"), "g": F.xxhash64(F.lit(7), "bare")})
 
 
 def _variants(w: Column, n: Column, first: Column, last: Column) -> Column:
@@ -100,26 +107,35 @@ def _variants(w: Column, n: Column, first: Column, last: Column) -> Column:
 
 
 def _near(docs: DataFrame, distinct: DataFrame) -> DataFrame:
-    """(h, g, links): distinct lines that have an earlier line within one edit, and to how many earlier lines they are linked."""
-    keys = distinct.where("keys is not null").select("h", "g", "first", "n", F.inline("keys"))
+    """(h, g, links): distinct lines that have an earlier line within one edit, and to how many of them they are linked."""
+    n = F.col("n")
+    opened = []
+    for i in range(8):
+        b = _block(n if i < 4 else n - 1)
+        opened.append(F.struct(F.col(f"k{i}").alias("key"), (b * (i % 4)).alias("low"), (n - b * (3 - i % 4)).alias("high")))
+    keys = distinct.where(F.col("k0").isNotNull()).select("h", "g", "place", F.inline(F.filter(F.array(*opened), lambda x: x["key"].isNotNull())))
     shared = keys.groupBy("key").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).where("lo <> hi").select("key")
-    hit = keys.join(shared, "key").groupBy("h", "g").agg(F.first("first").alias("first"), F.min(F.when(F.col("side") == 0, F.col("part"))).alias("p"), F.min(F.when(F.col("side") == 1, F.col("part"))).alias("s"))
-    wanted = hit.groupBy(F.col("first.doc_id").alias("c_id"), F.col("first.t").alias("c_t")).agg(F.collect_list(F.struct(F.col("first.line_no").alias("line_no"), "h", "g", "p", "s")).alias("wanted"))
-    texts = docs.select("doc_id", F.xxhash64("text").alias("t"), "text")
-    found = texts.join(wanted, (F.col("t") == F.col("c_t")) & F.col("doc_id").eqNullSafe(F.col("c_id"))).select("doc_id", "t", F.split("text", "\n").alias("lines"), F.inline("wanted"))
-    lines = cut(found.select(F.struct("doc_id", "t", "line_no").alias("first"), "h", "g", "p", "s", words_of(F.get("lines", F.col("line_no"))).alias("w")), "lines")
-    n = F.size("w")
-    first, last = F.when(F.col("s").isNotNull(), F.lit(0)).otherwise(F.col("p")), F.when(F.col("p").isNotNull(), n).otherwise(n - F.col("s"))
-    variants = lines.select("h", "g", "first", F.inline(_variants(F.col("w"), n, first, last)))
-    earliest = variants.groupBy("key").agg(F.min(F.struct("first", "h", "g", "gone")).alias("e"), F.max("h").alias("hi"), F.min("h").alias("lo")).where("lo <> hi").select("key", "e")
-    links = variants.join(earliest, "key").where("e.h <> h").select("h", "g", F.col("e.h").alias("eh"), F.col("e.g").alias("eg"), "place", "gone", F.col("e.gone").alias("e_gone")).dropDuplicates(["h", "g", "eh", "eg"])
+    hit = keys.join(shared, "key").groupBy("h", "g", "place").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    doc = F.floor(F.col("place") / F.lit(_LINES).cast("decimal(11,0)")).cast(_PLACE)
+    hit = hit.withColumn("c_doc", doc).withColumn("line_no", (F.col("place") - doc * _LINES).cast("int"))
+    wanted = hit.groupBy("c_doc").agg(F.collect_list(F.struct("line_no", "h", "g", "place", "low", "high")).alias("wanted"))
+    texts = docs.select("text", F.floor(_order(F.col("doc_id"), F.lit(0)) / F.lit(_LINES).cast("decimal(11,0)")).cast(_PLACE).alias("c_doc"))
+    found = texts.join(wanted, "c_doc").select(F.split("text", "\n").alias("lines"), F.inline("wanted"))
+    found = found.select("h", "g", "place", "low", "high", _bare(F.get("lines", F.col("line_no"))).alias("bare")).where(F.xxhash64("bare") == F.col("h"))
+    lines = cut(found.select("h", "g", "place", "low", "high", F.split("bare", " ").alias("w")), "lines")
+    variants = lines.select("h", "g", F.inline(_variants(F.col("w"), F.size("w"), F.col("low"), F.col("high"))))
+    several = variants.groupBy("key").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).where("lo <> hi").select("key")
+    members = cut(variants.join(several, "key"), "members").join(lines.select("h", "g", F.col("place").alias("at")), ["h", "g"])
+    earliest = members.groupBy("key").agg(F.min(F.struct("at", "h", "g", "gone")).alias("e"))
+    links = members.join(earliest, "key").where("e.h <> h").select("h", "g", F.col("e.h").alias("eh"), F.col("e.g").alias("eg"), "place", "gone", F.col("e.gone").alias("e_gone")).dropDuplicates(["h", "g", "eh", "eg"])
     mine, other = lines.select("h", "g", "w"), lines.select(F.col("h").alias("eh"), F.col("g").alias("eg"), F.col("w").alias("ew"))
 
     def rest(w: Column, gone: Column) -> Column:
         return F.slice(w, F.col("place") + 1 + gone, F.size(w))
 
     same = (F.slice("w", 1, F.col("place")) == F.slice("ew", 1, F.col("place"))) & (rest(F.col("w"), F.col("gone")) == rest(F.col("ew"), F.col("e_gone")))
-    return links.join(mine, ["h", "g"]).join(other, ["eh", "eg"]).where(same).groupBy("h", "g").agg(F.count("*").alias("links"))
+    verified = links.join(mine, ["h", "g"]).join(other, ["eh", "eg"]).where(same)
+    return cut(verified.groupBy("h", "g").agg(F.countDistinct("eh", "eg").alias("links")), "links")
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
@@ -128,16 +144,19 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     n_lines counts lines with words, n_near those removed as near to an earlier line only, n_links their links.
     """
     filled = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    occurrences = _occurrences(filled, True)
-    distinct = cut(occurrences.groupBy("h", "g").agg(F.min(F.struct("doc_id", "t", "line_no")).alias("first"), F.first("n").alias("n"), F.first("keys").alias("keys")), "distinct")
+    worded = _occurrences(filled).withColumn("w", F.split("bare", " ")).withColumn("n", F.size("w"))
+    keys = [k.alias(f"k{i}") for i, k in enumerate(_key_columns(F.col("w"), F.col("n")))]
+    worded = worded.select("h", "g", "n", _order(F.col("doc_id"), F.col("line_no")).alias("place"), *keys)
+    distinct = cut(worded.groupBy("h", "g").agg(F.min("place").alias("place"), *(F.max(c).alias(c) for c in ("n", *(f"k{i}" for i in range(8))))), "distinct")
     near = _near(filled, distinct)
-    judged = distinct.select("h", "g", "first").join(near, ["h", "g"], "left")
+    judged = distinct.select("h", "g", F.col("place").alias("first")).join(near, ["h", "g"], "left")
+    again = _order(F.col("doc_id"), F.col("line_no")) != F.col("first")
     gone = (
-        _occurrences(filled, False)
+        _occurrences(filled).drop("bare")
         .join(judged, ["h", "g"])
-        .where(F.col("links").isNotNull() | ~F.struct("doc_id", "t", "line_no").eqNullSafe(F.col("first")))
+        .where(F.col("links").isNotNull() | again)
         .groupBy(F.col("doc_id").alias("g_id"), F.col("t").alias("g_t"))
-        .agg(F.collect_set("line_no").alias("gone"), F.count_if(F.col("links").isNotNull() & F.struct("doc_id", "t", "line_no").eqNullSafe(F.col("first"))).alias("n_near"), F.coalesce(F.sum("links"), F.lit(0)).alias("n_links"))
+        .agg(F.collect_set("line_no").alias("gone"), F.count_if(F.col("links").isNotNull() & ~again).alias("n_near"), F.sum(F.when(~again, F.col("links")).otherwise(0)).alias("n_links"))
     )
     made = ["n_lines", "n_kept", "n_removed", "n_near", "n_links"]
     names = [c for c in docs.columns if c not in made]
