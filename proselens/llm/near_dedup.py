@@ -11,8 +11,8 @@ are near when their probability Jaccard is 0.8 or more; for texts that repeat no
    compared with it, never with each other.  In a group of copies of one original the pivot is the original or one
    like it, so one comparison a copy links the group.  Links give components.
 5. The rest: only buckets that still hold several components go on, and in them only texts that can have a link at
-   all: shingles that stand in no other of these texts bound the similarity with every other text from above, for
-   each text alone and for each pair.  What the bound leaves (pairs of different components, each in the first band
+   all: shingles that stand in no other of these texts bound the similarity with every other text from above, and so
+   do, for a pair, the bits that one text's sketch of shingles has and the other's has not.  What the bound leaves (pairs of different components, each in the first band
    they share) is compared exactly.  So no link within a bucket is lost, and no group is expanded into all pairs.
 6. Components of all links are the classes; the class id is the smallest doc_id.
 
@@ -42,6 +42,7 @@ SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 24, 4
 BROADCAST_BYTES = 32 << 20
+SKETCH_LONGS = 16
 
 
 def weighted(words: wordscan.Words, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -126,7 +127,14 @@ def signatures(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFra
 
 
 def features(docs: DataFrame) -> DataFrame:
-    """(id, h binary, w binary, total double) of rows (id, text): sorted shingle hashes, and weights unless all are 1."""
+    """(id, h binary, w binary, total double, bits array<bigint>) of rows (id, text): sorted shingle hashes, weights
+    unless all are 1, the sum of weights, and a sketch in which each shingle sets one bit."""
+
+    def sketches(text: np.ndarray, h: np.ndarray, n: int) -> pa.Array:
+        bits = np.zeros(n * SKETCH_LONGS, np.uint64)
+        at = (h >> np.uint64(20)) % np.uint64(SKETCH_LONGS * 64)
+        np.bitwise_or.at(bits, text * SKETCH_LONGS + (at >> np.uint64(6)).astype(np.int64), np.uint64(1) << (at & np.uint64(63)))
+        return pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * SKETCH_LONGS, pa.int32()), pa.array(bits.view(np.int64)))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -140,11 +148,12 @@ def features(docs: DataFrame) -> DataFrame:
                         pa.array([h[a:b].tobytes() for a, b in spans], pa.binary()),
                         pa.array([w[a:b].tobytes() if (w[a:b] != 1).any() else None for a, b in spans], pa.binary()),
                         pa.array([float(w[a:b].sum()) for a, b in spans], pa.float64()),
+                        sketches(text, h, part.num_rows),
                     ],
-                    ["id", "h", "w", "total"],
+                    ["id", "h", "w", "total", "bits"],
                 )
 
-    return docs.select("id", "text").mapInArrow(work, f"id {docs.schema['id'].dataType.simpleString()}, h binary, w binary, total double")
+    return docs.select("id", "text").mapInArrow(work, f"id {docs.schema['id'].dataType.simpleString()}, h binary, w binary, total double, bits array<bigint>")
 
 
 def linked(pairs: DataFrame, feats: DataFrame, similarity: float, small: bool = False) -> DataFrame:
@@ -188,9 +197,21 @@ def _alone(feats: DataFrame) -> DataFrame:
 
 
 def _bound(a: Column, b: Column) -> Column:
-    """The most that the similarity of two texts can be; a, b: structs of total, lone share of it, and plain (no weights)."""
-    general = F.least(1 / (1 / (1 - a["share"]) + b["share"] / (1 - b["share"])), 1 / (1 / (1 - b["share"]) + a["share"] / (1 - a["share"])))
-    common = F.least(a["total"] * (1 - a["share"]), b["total"] * (1 - b["share"]))
+    """The most that the similarity of two texts can be; a, b: structs of total, lone, plain (no weights) and bits.
+
+    What a text has and the other has not weighs ``lone`` at least, and one for each bit of its sketch that the other's
+    lacks.  With no weights the rest is the most that both can share; with weights, the shares x and y that are alone
+    leave at most 1 / (1 / (1 - x) + y / (1 - y)), by concavity over the terms of the probability Jaccard.
+    """
+
+    def alone(x: Column, y: Column) -> Column:
+        missing = [F.bit_count(F.get(x["bits"], F.lit(i)).bitwiseAND(F.bitwise_not(F.get(y["bits"], F.lit(i))))) for i in range(SKETCH_LONGS)]
+        return F.greatest(x["lone"], sum(missing[1:], missing[0]).cast("double"))
+
+    alone_a, alone_b = alone(a, b), alone(b, a)
+    common = F.least(a["total"] - alone_a, b["total"] - alone_b)
+    x, y = alone_a / a["total"], alone_b / b["total"]
+    general = F.when((x >= 1) | (y >= 1), 0.0).otherwise(F.least(1 / (1 / (1 - x) + y / (1 - y)), 1 / (1 / (1 - y) + x / (1 - x))))
     return F.when(a["plain"] & b["plain"], common / (a["total"] + b["total"] - common)).otherwise(general)
 
 
@@ -216,15 +237,15 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS,
     mixed = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
     placed = cut(placed.join(mixed, "key"), "placed")
     rest = feats.join(placed.select("id").distinct(), "id", "left_semi")
-    judged = rest.select("id", "total", F.col("w").isNull().alias("plain")).join(_alone(rest), "id", "left").select("id", F.struct("total", (F.coalesce("lone", F.lit(0.0)) / F.col("total")).alias("share"), "plain").alias("by"))
-    able = judged.where(F.col("by.share") <= 1 - similarity + 1e-9)
+    judged = rest.select("id", "total", F.col("w").isNull().alias("plain"), "bits").join(_alone(rest), "id", "left").select("id", F.struct("total", F.coalesce("lone", F.lit(0.0)).alias("lone"), "plain", "bits").alias("by"))
+    able = judged.where(F.col("by.lone") <= (1 - similarity + 1e-9) * F.col("by.total"))
     able = placed.join(able, "id").join(texts.select("id", "bands"), "id")
     a, b = (able.select("key", *(F.col(c).alias(f"{c}_{s}") for c in ("id", "component", "by", "bands"))) for s in "ab")
     first_shared = F.element_at(F.filter(F.zip_with("bands_a", "bands_b", lambda x, y: F.when(x == y, x)), lambda x: x.isNotNull()), 1) == F.col("key")
     more = a.join(b, "key").where((F.col("id_a") < F.col("id_b")) & (F.col("component_a") != F.col("component_b")) & (_bound(F.col("by_a"), F.col("by_b")) >= similarity - 1e-9) & first_shared)
     more = cut(more.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")), "more")
     ids = more.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    few = cut(feats.join(ids, "id", "left_semi"), "few")
+    few = cut(feats.select("id", "h", "w").join(ids, "id", "left_semi"), "few")
     size = few.agg(F.coalesce(F.sum(F.octet_length("h") + F.coalesce(F.octet_length("w"), F.lit(0))), F.lit(0))).first()[0]
     links = links.unionByName(cut(linked(more, few, similarity, size <= BROADCAST_BYTES), "links"))
     final = components(links)
