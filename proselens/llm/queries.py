@@ -12,6 +12,7 @@ from .licenses import op10_licenses
 from .line_dedup import op5_line_dedup
 from .near_dedup import op2_near_dedup
 from .pieces import op7_pieces
+from .repeats import op9_repeats
 from .sharding import op3_sharding
 from .toxicity import op1_toxicity
 
@@ -22,6 +23,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_decontamination": op4_decontamination,
     "op5_line_dedup": op5_line_dedup,
     "op7_pieces": op7_pieces,
+    "op9_repeats": op9_repeats,
     "op10_licenses": op10_licenses,
 }
 
