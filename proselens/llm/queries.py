@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import decontamination, licenses
 from .decontamination import op4_decontamination
+from .html_text import op8_html_text
 from .licenses import op10_licenses
 from .line_dedup import op5_line_dedup
 from .near_dedup import op2_near_dedup
@@ -23,6 +24,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_decontamination": op4_decontamination,
     "op5_line_dedup": op5_line_dedup,
     "op7_pieces": op7_pieces,
+    "op8_html_text": op8_html_text,
     "op9_repeats": op9_repeats,
     "op10_licenses": op10_licenses,
 }
