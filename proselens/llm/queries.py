@@ -12,6 +12,7 @@ from .html_text import op8_html_text
 from .licenses import op10_licenses
 from .line_dedup import op5_line_dedup
 from .near_dedup import op2_near_dedup
+from .neighbours import op6_neighbours
 from .pieces import op7_pieces
 from .repeats import op9_repeats
 from .sharding import op3_sharding
@@ -23,6 +24,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_sharding": op3_sharding,
     "op4_decontamination": op4_decontamination,
     "op5_line_dedup": op5_line_dedup,
+    "op6_neighbours": op6_neighbours,
     "op7_pieces": op7_pieces,
     "op8_html_text": op8_html_text,
     "op9_repeats": op9_repeats,
