@@ -162,6 +162,21 @@ def find(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, part_bytes:
     return merged.withColumn("copy", F.explode(F.sequence(F.lit(1), "copies"))).drop("copy", "copies")
 
 
+def clean(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, part_bytes: int = PART_BYTES) -> DataFrame:
+    """The rows of ``docs`` (doc_id, text and any others) in whose text no window of ``benchmark`` stands."""
+    for run in parts(benchmark, part_bytes):
+        patterns = Patterns(run, size)
+
+        def work(batches: Iterator[pa.RecordBatch], patterns: Patterns = patterns) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for part in wordscan.slices(batch, "text"):
+                    for found in hits(part, patterns):
+                        yield part.take(pa.array(np.flatnonzero(found.column("hits").value_lengths().to_numpy() == 0)))
+
+        docs = docs.mapInArrow(work, docs.schema)
+    return docs
+
+
 def hits(part: pa.RecordBatch, patterns: Patterns) -> Iterator[pa.RecordBatch]:
     words = wordscan.scan(part.column("text"))
     ids, counts = patterns.numbers(words), words.counts
