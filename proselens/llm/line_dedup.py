@@ -37,15 +37,15 @@ MIN_WORDS = 8
 BLOCK = 32
 STEP = 8
 _SPACE = " \t\r\x0b\x0c"
-_UNEVEN = f"[{_SPACE[1:]}]|  "
+_UNEVEN = f"[{_SPACE[1:]}]|  | \n|\n |\\A | \\z"
 _PLACE = "decimal(38,0)"
 _LINES = 10**10
 
 
-def _bare(line: Column) -> Column:
-    """The words of a line with one blank between them."""
-    bare = F.btrim(line, F.lit(_SPACE))
-    return F.when(bare.rlike(_UNEVEN), F.regexp_replace(bare, f"[{_SPACE}]+", " ")).otherwise(bare)
+def _even(text: Column) -> Column:
+    """A text with one blank between words and none at the ends of lines; it has the same number of lines."""
+    single = F.regexp_replace(text, f"[{_SPACE}]+", " ")
+    return F.when(text.rlike(_UNEVEN), F.regexp_replace(single, "(?<![^\\n]) | (?![^\\n])", "")).otherwise(text)
 
 
 def _key_columns(w: Column, n: Column) -> list[Column]:
@@ -53,7 +53,9 @@ def _key_columns(w: Column, n: Column) -> list[Column]:
 
     def keys(m: Column, there: Column) -> list[Column]:
         b = _block(m)
-        return [F.when(there, F.xxhash64(F.lit(j), b, F.slice(w, 1, b * j), F.slice(w, n - b * (3 - j) + 1, b * (3 - j)))) for j in range(4)]
+        head = [F.lit(0), *(F.xxhash64(F.slice(w, 1, b * j)) for j in (1, 2, 3))]
+        tail = [F.lit(0), *(F.xxhash64(F.slice(w, n - b * j + 1, b * j)) for j in (1, 2, 3))]
+        return [F.when(there, F.xxhash64(F.lit(j), b, head[j], tail[3 - j])) for j in range(4)]
 
     return keys(n, n >= MIN_WORDS) + keys(n - 1, (n % STEP == 0) & (n > MIN_WORDS))
 
@@ -70,9 +72,8 @@ def _order(doc_id: Column, line_no: Column) -> Column:
 
 def _occurrences(docs: DataFrame) -> DataFrame:
     """(doc_id, t, line_no, bare, h, g): all lines with words; t: hash of the text, h and g: hashes of the line's words."""
-    lines = docs.select("doc_id", F.xxhash64("text").alias("t"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    worded = lines.select("doc_id", "t", "line_no", _bare(F.col("line")).alias("bare")).where("bare <> ''")
-    return worded.withColumns({"h": F.xxhash64("bare"), "g": F.xxhash64(F.lit(7), "bare")})
+    lines = docs.select("doc_id", F.xxhash64("text").alias("t"), F.posexplode(F.split(_even(F.col("text")), "\n")).alias("line_no", "bare"))
+    return lines.where("bare <> ''").withColumns({"h": F.xxhash64("bare"), "g": F.xxhash64(F.lit(7), "bare")})
 
 
 def _variants(w: Column, n: Column, first: Column, last: Column) -> Column:
@@ -113,17 +114,18 @@ def _near(docs: DataFrame, distinct: DataFrame) -> DataFrame:
     for i in range(8):
         b = _block(n if i < 4 else n - 1)
         opened.append(F.struct(F.col(f"k{i}").alias("key"), (b * (i % 4)).alias("low"), (n - b * (3 - i % 4)).alias("high")))
-    keys = distinct.where(F.col("k0").isNotNull()).select("h", "g", "place", F.inline(F.filter(F.array(*opened), lambda x: x["key"].isNotNull())))
+    long = distinct.where(F.col("k0").isNotNull())
+    keys = long.select("h", F.explode(F.when(F.col("k4").isNull(), F.array(*opened[:4])).otherwise(F.array(*opened))).alias("o")).select("h", "o.*")
     shared = keys.groupBy("key").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).where("lo <> hi").select("key")
-    hit = keys.join(shared, "key").groupBy("h", "g", "place").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    hit = keys.join(shared, "key").groupBy("h").agg(F.min("low").alias("low"), F.max("high").alias("high")).join(long.select("h", "g", "place"), "h")
     doc = F.floor(F.col("place") / F.lit(_LINES).cast("decimal(11,0)")).cast(_PLACE)
     hit = hit.withColumn("c_doc", doc).withColumn("line_no", (F.col("place") - doc * _LINES).cast("int"))
     wanted = hit.groupBy("c_doc").agg(F.collect_list(F.struct("line_no", "h", "g", "place", "low", "high")).alias("wanted"))
     texts = docs.select("text", F.floor(_order(F.col("doc_id"), F.lit(0)) / F.lit(_LINES).cast("decimal(11,0)")).cast(_PLACE).alias("c_doc"))
-    found = texts.join(wanted, "c_doc").select(F.split("text", "\n").alias("lines"), F.inline("wanted"))
-    found = found.select("h", "g", "place", "low", "high", _bare(F.get("lines", F.col("line_no"))).alias("bare")).where(F.xxhash64("bare") == F.col("h"))
+    found = texts.join(wanted, "c_doc").select(F.split(_even(F.col("text")), "\n").alias("lines"), F.inline("wanted"))
+    found = found.select("h", "g", "place", "low", "high", F.get("lines", F.col("line_no")).alias("bare")).where(F.xxhash64("bare") == F.col("h"))
     lines = cut(found.select("h", "g", "place", "low", "high", F.split("bare", " ").alias("w")), "lines")
-    variants = lines.select("h", "g", F.inline(_variants(F.col("w"), F.size("w"), F.col("low"), F.col("high"))))
+    variants = cut(lines.select("h", "g", F.inline(_variants(F.col("w"), F.size("w"), F.col("low"), F.col("high")))), "variants")
     several = variants.groupBy("key").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).where("lo <> hi").select("key")
     members = cut(variants.join(several, "key"), "members").join(lines.select("h", "g", F.col("place").alias("at")), ["h", "g"])
     earliest = members.groupBy("key").agg(F.min(F.struct("at", "h", "g", "gone")).alias("e"))
@@ -163,7 +165,7 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     rows = docs.select(*names, F.xxhash64(F.coalesce("text", F.lit(""))).alias("_t")).join(gone, (F.col("_t") == F.col("g_t")) & F.col("doc_id").eqNullSafe(F.col("g_id")), "left")
     lines = F.split("text", "\n")
     kept = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("gone", i)), "\n"))
-    n_lines = F.coalesce(F.size(F.filter(lines, lambda x: F.btrim(x, F.lit(_SPACE)) != "")), F.lit(0)).cast("long")
+    n_lines = F.coalesce(F.size(F.filter(F.split(_even(F.col("text")), "\n"), lambda x: x != "")), F.lit(0)).cast("long")
     n_gone = F.coalesce(F.size("gone"), F.lit(0)).cast("long")
     n_lines = F.when(F.col("text").isNull(), F.lit(0).cast("long")).otherwise(n_lines)
     n_gone = F.when(F.col("gone").isNull(), F.lit(0).cast("long")).otherwise(n_gone)
