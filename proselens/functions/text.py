@@ -17,6 +17,11 @@ TOKEN = f"\\p{{L}}+|[0-9]+|[^{SPACE}]"
 SPAN = "struct<start:int,end:int,match:string>"
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once: lambdas do not share common parts of expressions by themselves."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def spans(text: Column, pattern: str) -> Column:
     """All matches, leftmost and without overlap, as array<struct<start, end, match>>.
 
@@ -36,8 +41,7 @@ def spans(text: Column, pattern: str) -> Column:
 
         return F.aggregate(pieces, F.struct(F.lit(0).alias("at"), none.alias("found")), step, lambda a: a["found"])
 
-    # one-element transform: the matches are computed once and used three times
-    return F.when(text.rlike(pattern), F.element_at(F.transform(F.array(matches), placed), 1)).otherwise(none)
+    return F.when(text.rlike(pattern), let(matches, placed)).otherwise(none)
 
 
 def slice_of(text: Column, start: Column, end: Column) -> Column:
@@ -85,7 +89,7 @@ def token_distance(a: Column, b: Column) -> Column:
         return F.levenshtein(written(x["a"], words), written(x["b"], words))
 
     pair = F.struct(tokens(F.coalesce(a, F.lit(""))).alias("a"), tokens(F.coalesce(b, F.lit(""))).alias("b"))
-    return F.element_at(F.transform(F.array(pair), measured), 1)
+    return let(pair, measured)
 
 
 def checksum(original: Column) -> Column:
