@@ -1 +1 @@
-"""Part of the prose-quality engine."""
+"""Sources and sinks: documents from tables, rejects on the side, answers as JSON."""

@@ -1 +1 @@
-"""Part of the prose-quality engine."""
+"""Structured Streaming forms: debounced analysis of edited documents."""
