@@ -48,16 +48,17 @@ def _even(text: Column) -> Column:
     return F.when(text.rlike(_UNEVEN), F.regexp_replace(single, "(?<![^\\n]) | (?![^\\n])", "")).otherwise(text)
 
 
-def _key_columns(w: Column, n: Column) -> list[Column]:
-    """Eight coarse keys, null where there are none; the last four are for lines whose length begins a new block size."""
+def _keys(w: Column, n: Column) -> Column:
+    """Coarse keys: four, or eight for lines whose length begins a new block size (the last four are of the size before).
 
-    def keys(m: Column, there: Column) -> list[Column]:
+    They are made in one lambda: written out, the generated code is too long for the JVM to compile.
+    """
+
+    def four(m: Column) -> Column:
         b = _block(m)
-        head = [F.lit(0), *(F.xxhash64(F.slice(w, 1, b * j)) for j in (1, 2, 3))]
-        tail = [F.lit(0), *(F.xxhash64(F.slice(w, n - b * j + 1, b * j)) for j in (1, 2, 3))]
-        return [F.when(there, F.xxhash64(F.lit(j), b, head[j], tail[3 - j])) for j in range(4)]
+        return F.transform(F.sequence(F.lit(0), F.lit(3)), lambda j: F.xxhash64(j, b, F.slice(w, 1, b * j), F.slice(w, n - b * (3 - j) + 1, b * (3 - j))))
 
-    return keys(n, n >= MIN_WORDS) + keys(n - 1, (n % STEP == 0) & (n > MIN_WORDS))
+    return F.when(n < MIN_WORDS, None).when((n % STEP == 0) & (n > MIN_WORDS), F.concat(four(n), four(n - 1))).otherwise(four(n))
 
 
 def _block(n: Column) -> Column:
@@ -122,8 +123,11 @@ def _near(docs: DataFrame, distinct: DataFrame) -> DataFrame:
     hit = hit.withColumn("c_doc", doc).withColumn("line_no", (F.col("place") - doc * _LINES).cast("int"))
     wanted = hit.groupBy("c_doc").agg(F.collect_list(F.struct("line_no", "h", "g", "place", "low", "high")).alias("wanted"))
     texts = docs.select("text", F.floor(_order(F.col("doc_id"), F.lit(0)) / F.lit(_LINES).cast("decimal(11,0)")).cast(_PLACE).alias("c_doc"))
-    found = texts.join(wanted, "c_doc").select(F.split(_even(F.col("text")), "\n").alias("lines"), F.inline("wanted"))
-    found = found.select("h", "g", "place", "low", "high", F.get("lines", F.col("line_no")).alias("bare")).where(F.xxhash64("bare") == F.col("h"))
+
+    def picked(lines: Column) -> Column:  # the text is split once, not once for each line that is wanted
+        return F.transform("wanted", lambda x: F.struct(*(x[c].alias(c) for c in ("h", "g", "place", "low", "high")), F.get(lines, x["line_no"]).alias("bare")))
+
+    found = texts.join(wanted, "c_doc").select(F.inline(F.flatten(F.transform(F.array(F.split(_even(F.col("text")), "\n")), picked)))).where(F.xxhash64("bare") == F.col("h"))
     lines = cut(found.select("h", "g", "place", "low", "high", F.split("bare", " ").alias("w")), "lines")
     variants = cut(lines.select("h", "g", F.inline(_variants(F.col("w"), F.size("w"), F.col("low"), F.col("high")))), "variants")
     several = variants.groupBy("key").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).where("lo <> hi").select("key")
@@ -147,8 +151,8 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     """
     filled = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     worded = _occurrences(filled).withColumn("w", F.split("bare", " ")).withColumn("n", F.size("w"))
-    keys = [k.alias(f"k{i}") for i, k in enumerate(_key_columns(F.col("w"), F.col("n")))]
-    worded = worded.select("h", "g", "n", _order(F.col("doc_id"), F.col("line_no")).alias("place"), *keys)
+    worded = worded.select("h", "g", "n", _order(F.col("doc_id"), F.col("line_no")).alias("place"), _keys(F.col("w"), F.col("n")).alias("keys"))
+    worded = worded.select("h", "g", "n", "place", *(F.get("keys", F.lit(i)).alias(f"k{i}") for i in range(8)))
     distinct = cut(worded.groupBy("h", "g").agg(F.min("place").alias("place"), *(F.max(c).alias(c) for c in ("n", *(f"k{i}" for i in range(8))))), "distinct")
     near = _near(filled, distinct)
     judged = distinct.select("h", "g", F.col("place").alias("first")).join(near, ["h", "g"], "left")
