@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from proselens.llm import decontamination, line_dedup, near_dedup, pieces
 from proselens.llm import toxicity as toxic
-from proselens.llm.common import cut, table
+from proselens.llm.common import bounded, cut, table
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,12 +25,14 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without lines that stood earlier; those of which every line stood earlier go, all others stay."""
+    bounded(spark)
     left = line_dedup.deduplicated(docs).where("not (n_kept = 0 and n_removed > 0)")
     return left.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 
 def near_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of smallest doc_id of each class of near copies, once; documents without doc_id stay."""
+    bounded(spark)
     copies = near_dedup.classes(docs).where("doc_id <> class_id").select("doc_id").distinct()
     one = F.when(F.col("doc_id").isNull(), F.md5(F.coalesce("text", F.lit("")).cast("binary")))
     return docs.join(cut(copies, "copies"), "doc_id", "left_anti").withColumn("_one", one).dropDuplicates(["doc_id", "_one"]).select(*docs.columns)
@@ -43,6 +45,7 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents with their token ids, the number of these, and the hashes of ids and of the decoded text."""
+    bounded(spark)
     return pieces.tokens(docs)
 
 
