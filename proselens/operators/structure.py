@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from proselens.functions.text import SPACE, WORD, slice_of, spans, trimmed_length
+from proselens.functions.text import SPACE, WORD, let, slice_of, spans, trimmed_length
 from proselens.operators.ranges import RANGE, merge_array
 from proselens.plans.policy import DEFAULT, Policy
 
@@ -64,8 +64,12 @@ def sentences(text: Column, mode: str = "observed") -> Column:
     ends = spans(text, f"\\n\\n|[.!?][)\\]\"'{SPACE}]*")
     real = F.filter(ends, lambda s: ~((s["match"].substr(1, 1) == ".") & F.substring(text, F.greatest(s["start"] - 7, F.lit(1)), F.least(s["start"] + 1, F.lit(9))).rlike(ABBREVIATIONS)))
     bounds = F.concat(F.array(F.lit(0)), F.transform(real, lambda s: s["end"]), F.array(F.length(text)))
-    pairs = F.transform(F.sequence(F.lit(1), F.size(bounds) - 1), lambda i: _range(F.get(bounds, i - 1), F.get(bounds, i)))
-    return F.filter(pairs, lambda r: r["end"] > r["start"])
+
+    def between(b: Column) -> Column:
+        pairs = F.transform(F.sequence(F.lit(1), F.size(b) - 1), lambda i: _range(F.get(b, i - 1), F.get(b, i)))
+        return F.filter(pairs, lambda r: r["end"] > r["start"])
+
+    return let(bounds, between)
 
 
 def is_sentence_start(text: Column, at: Column) -> Column:
@@ -139,8 +143,9 @@ def chunks(text: Column, prose: Column, policy: Policy = DEFAULT, mode: str = "o
             return F.transform(joined, lambda c: piece(c["start"], c["end"], c["start"] - F.greatest(r["start"], c["start"] - policy.chunk_overlap)))
 
         packed = F.flatten(F.transform(prose, of_range))
-    usable = F.when(F.size(packed) > 0, packed.cast(kind)).otherwise(everything.cast(kind))
-    return F.when(F.length(text) <= policy.single_chunk, everything.cast(kind)).otherwise(usable)
+    whole_text = everything.cast(kind)
+    usable = let(packed.cast(kind), lambda p: F.when(F.size(p) > 0, p).otherwise(whole_text))
+    return F.when(F.length(text) <= policy.single_chunk, whole_text).otherwise(usable)
 
 
 def chunk_rows(docs: DataFrame, prose: Column, policy: Policy = DEFAULT, mode: str = "observed", key: str = "doc_id") -> DataFrame:

@@ -4,12 +4,359 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from proselens.functions import text as T
+from proselens.functions.markdown import with_structure
+from proselens.operators import alignment, edits, gate, incremental, model_rows, ranges, rules, structure
+from proselens.plans import oracles as O
+from proselens.plans.analysis import analyse
+from proselens.sources.documents import status
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
+TEXT = F.col("text")
+
+
+def query(name: str, sql: str | None = None):
+    def put(f):
+        QUERIES[name] = f
+        if sql:
+            ORACLES[name] = sql
+        return f
+
+    return put
+
+
+def docs(spark: SparkSession, sf_dir: str, expression: str = "text") -> DataFrame:
+    found = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return found.select("doc_id", F.expr(expression).alias("text"))
+
+
+def long(*names: str) -> list[Column]:
+    return [F.col(n).cast("long").alias(n) for n in names]
+
+
+def _rule(name: str) -> None:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        found = rules.scan(docs(spark, sf_dir, O.VIEWS.get(name, "text")), name)
+        return found.select("doc_id", *long("start", "end"), "original", "replacement")
+
+    query(f"q_rule_{name}", O.rule_query(name))(run)
+
+
+for _name in rules.BY_NAME:
+    _rule(_name)
+
+_LOCAL = O.local_rows(O.docs_view())
+
+
+@query("q_local_all", f'select doc_id, ord::bigint as ord, rule::bigint as rule, "start"::bigint as "start", "end"::bigint as "end", original, replacement, title, category, severity from ({_LOCAL})')
+def q_local_all(spark, sf_dir):
+    return rules.scan(docs(spark, sf_dir)).select("doc_id", *long("ord", "rule", "start", "end"), "original", "replacement", "title", "category", "severity")
+
+
+@query("q_local_by_category", f"select category, count(*) as n from ({_LOCAL}) group by category")
+def q_local_by_category(spark, sf_dir):
+    return rules.scan(docs(spark, sf_dir)).groupBy("category").agg(F.count("*").alias("n"))
+
+
+@query("q_local_by_severity", f"select severity, count(*) as n from ({_LOCAL}) group by severity")
+def q_local_by_severity(spark, sf_dir):
+    return rules.scan(docs(spark, sf_dir)).groupBy("severity").agg(F.count("*").alias("n"))
+
+
+@query("q_checksum", f"select doc_id, ord::bigint as ord, case when original <> '' then sha256(original) end as checksum, sha256(concat_ws('|', doc_id, \"start\", \"end\", title, replacement)) as suggestion_id from ({_LOCAL})")
+def q_checksum(spark, sf_dir):
+    return rules.scan(docs(spark, sf_dir)).select("doc_id", *long("ord"), "checksum", "suggestion_id")
+
+
+_LINKED = "replace(replace(text, ' and ', ' [and](https://ex.org/a_b) '), ' with ', ' http://ex.org/w?x=1 ')"
+_URLS = O.spans(O.docs_view(expression=_LINKED), f"https?://[^{O.SPACE}]+")
+_LINKS = O.spans(O.docs_view(expression=_LINKED), rf"\[[^\]]+\]\([^){O.SPACE}]+\)")
+
+
+def _ranged(df: DataFrame, array: Column) -> DataFrame:
+    return df.select("doc_id", F.inline(array)).select("doc_id", *long("start", "end"))
+
+
+@query("q_url_spans", f'select doc_id, s as "start", e as "end" from ({_URLS})')
+def q_url_spans(spark, sf_dir):
+    return _ranged(docs(spark, sf_dir, _LINKED), structure.addresses(TEXT))
+
+
+_TARGETS = f"select doc_id, s + position('(' in t[s + 1:]) - 1 as s, e from ({_LINKS})"
+
+
+@query("q_link_targets", f'select doc_id, s::bigint as "start", e::bigint as "end" from ({_TARGETS})')
+def q_link_targets(spark, sf_dir):
+    return _ranged(docs(spark, sf_dir, _LINKED), structure.link_targets(TEXT))
+
+
+_MERGED = f"""select doc_id, min(s) as s, max(e) as e from (select *, sum(new) over (partition by doc_id order by s, e rows unbounded preceding) as island from (
+    select *, case when s > max(e) over (partition by doc_id order by s, e rows between unbounded preceding and 1 preceding) then 1 else 0 end as new
+    from (select doc_id, s, e from ({_URLS}) union all select doc_id, s, e from ({_TARGETS})))) group by doc_id, island"""
+
+
+@query("q_ranges_merged", f'select doc_id, s::bigint as "start", e::bigint as "end" from ({_MERGED})')
+def q_ranges_merged(spark, sf_dir):
+    return _ranged(docs(spark, sf_dir, _LINKED), structure.plain_forbidden(TEXT))
+
+
+@query("q_ranges_merged_table", f'select doc_id, s::bigint as "start", e::bigint as "end" from ({_MERGED})')
+def q_ranges_merged_table(spark, sf_dir):
+    d = docs(spark, sf_dir, _LINKED)
+    return ranges.merge_table(_ranged(d, structure.addresses(TEXT)).unionByName(_ranged(d, structure.link_targets(TEXT))))
+
+
+_LINKED_LOCAL = O.local_rows(O.docs_view(expression=_LINKED))
+
+
+@query("q_outside_forbidden", f"""select l.doc_id, l.rule::bigint as rule, l."start"::bigint as "start", l."end"::bigint as "end" from ({_LINKED_LOCAL}) l
+    where not exists (select 1 from ({_MERGED}) f where f.doc_id = l.doc_id and l."start" < f.e and l."end" > f.s)""")
+def q_outside_forbidden(spark, sf_dir):
+    d = docs(spark, sf_dir, _LINKED)
+    kept = ranges.outside_join(rules.scan(d), _ranged(d, structure.plain_forbidden(TEXT)))
+    return kept.select("doc_id", *long("rule", "start", "end"))
+
+
+_BROKEN = "replace(text, chr(10), chr(10) || chr(10))"
+_BLOCKS = f"""select doc_id, s + (length(m) - length(ltrim(m, ' '))) as s, s + length(rtrim(m, ' ')) as e from ({O.spans(O.docs_view(expression=_BROKEN), "[^" + chr(92) + "n]+")})
+    where trim(m, ' ') <> ''"""
+
+
+@query("q_within_prose", f"""select l.doc_id, l.rule::bigint as rule, l."start"::bigint as "start", l."end"::bigint as "end" from ({O.local_rows(O.docs_view(expression=_BROKEN))}) l
+    where exists (select 1 from ({_BLOCKS}) p where p.doc_id = l.doc_id and l."start" >= p.s and l."end" <= p.e)""")
+def q_within_prose(spark, sf_dir):
+    d = docs(spark, sf_dir, _BROKEN)
+    kept = ranges.within_join(rules.scan(d), _ranged(d, structure.blocks(TEXT)))
+    return kept.select("doc_id", *long("rule", "start", "end"))
+
+
+@query("q_paragraphs_intended", f"""select doc_id, s::bigint as "start", e::bigint as "end" from ({O.spans(O.docs_view(expression=_BROKEN), "[^" + chr(92) + "n]+")})""")
+def q_paragraphs_intended(spark, sf_dir):
+    return _ranged(docs(spark, sf_dir, _BROKEN), structure.paragraphs(TEXT, "intended"))
+
+
+@query("q_paragraphs", """select doc_id, s::bigint as "start", e::bigint as "end" from (
+    select doc_id, case when i = 1 then 0 else pos[i - 1] + 4 end as s, case when i > len(pos) then n else pos[i] + 2 end as e
+    from (select doc_id, n, pos, unnest(range(1, len(pos) + 2)) as i from (
+        select doc_id, length(t) as n, list_filter(range(0, length(t)), lambda p: t[p + 1] = chr(10) and t[p + 2] = chr(10)) as pos
+        from (select doc_id, replace(text, chr(10), chr(10) || chr(10)) as t from documents)))) where e > s""")
+def q_paragraphs(spark, sf_dir):
+    return _ranged(docs(spark, sf_dir, _BROKEN), structure.paragraphs(TEXT))
+
+
+@query("q_token_count", f"select doc_id, {O.TOKENS}::bigint as tokens, {O.LETTERS}::bigint as letters from (select doc_id, text as t from documents)")
+def q_token_count(spark, sf_dir):
+    return docs(spark, sf_dir).select("doc_id", T.token_count(TEXT).cast("long").alias("tokens"), T.letter_count(TEXT).cast("long").alias("letters"))
+
+
+@query("q_style_budget", """select doc_id, n_chars as length, c as correctness, ((case when least(3, floor(0.15 * c)) > 0 then least(3, floor(0.15 * c)) else 3 end) * ceil(n_chars / 1000.0))::bigint as budget
+    from (select doc_id, n_chars, unnest([0, 6, 7, 14, 20, 100]::bigint[]) as c from documents)""")
+def q_style_budget(spark, sf_dir):
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.col("n_chars").alias("length"), F.explode(F.array(*(F.lit(c).cast("long") for c in (0, 6, 7, 14, 20, 100)))).alias("correctness"))
+    return d.withColumn("budget", gate.style_budget(F.col("length"), F.col("correctness")).cast("long"))
+
+
+@query("q_token_distance", f"select doc_id, ord::bigint as ord, (len(regexp_extract_all(original, '{chr(92)}pL+|[0-9]+|[^{O.SPACE}]')) - len(regexp_extract_all(replacement, '{chr(92)}pL+|[0-9]+|[^{O.SPACE}]')))::bigint as changed from ({_LOCAL}) where rule in (4, 7)")
+def q_token_distance(spark, sf_dir):
+    found = rules.scan(docs(spark, sf_dir)).where(F.col("rule").isin(4, 7))
+    return found.select("doc_id", *long("ord"), T.token_distance(F.col("original"), F.col("replacement")).cast("long").alias("changed"))
+
+
+@query("q_selected_local", f'select l.doc_id, l.rule::bigint as rule, l."start"::bigint as "start", l."end"::bigint as "end" from ({_LOCAL}) l join ({O.selected(O.docs_view())}) k using (doc_id, ord)')
+def q_selected_local(spark, sf_dir):
+    kept = gate.select(gate.full_rows(rules.local_rows(TEXT)), TEXT)
+    return gate.as_rows(docs(spark, sf_dir), kept).select("doc_id", *long("rule", "start", "end"))
+
+
+@query("q_final_local", f'select doc_id, rule::bigint as rule, "start"::bigint as "start", "end"::bigint as "end", original, replacement, category, severity from ({O.final(O.docs_view())})')
+def q_final_local(spark, sf_dir):
+    found = gate.as_rows(docs(spark, sf_dir), gate.final_local(TEXT))
+    return found.select("doc_id", *long("rule", "start", "end"), "original", "replacement", "category", "severity")
+
+
+@query("q_final_by_category", f"select category, count(*) as n from ({O.final(O.docs_view())}) group by category")
+def q_final_by_category(spark, sf_dir):
+    return gate.as_rows(docs(spark, sf_dir), gate.final_local(TEXT)).groupBy("category").agg(F.count("*").alias("n"))
+
+
+@query("q_analysis")
+def q_analysis(spark, sf_dir):
+    return analyse(docs(spark, sf_dir)).select("doc_id", *long("ord", "rule", "start", "end"), "original", "replacement", "category", "severity", "checksum")
+
+
+@query("q_request_validation", "select doc_id, case when coalesce(length(t), 0) = 0 then 400 when length(t) > 100000 then 413 else 200 end::bigint as status from (select doc_id, case when doc_id % 50 = 0 then '' when doc_id % 50 = 1 then repeat(text, 60) else text end as t from documents)")
+def q_request_validation(spark, sf_dir):
+    d = docs(spark, sf_dir, "case when doc_id % 50 = 0 then '' when doc_id % 50 = 1 then repeat(text, 60) else text end")
+    return d.select("doc_id", status().cast("long").alias("status"))
+
+
+_KEPT_LOCAL = f"select * from (select *, max(\"end\") over (partition by doc_id order by ord rows between unbounded preceding and 1 preceding) as reach from ({_LOCAL}) where category <> 'style') where \"start\" >= coalesce(reach, 0)"
+
+
+@query("q_apply_all_intended", f"""select d.doc_id, sha256(coalesce(p.head || substring(d.text, p.last + 1), d.text)) as edited_sha256 from documents d left join (
+    select doc_id, string_agg(substring(text, prev + 1, "start" - prev) || replacement, '' order by ord) as head, max("end") as last from (
+        select k.*, d.text, coalesce(lag("end") over (partition by k.doc_id order by ord), 0) as prev from ({_KEPT_LOCAL}) k join documents d on d.doc_id = k.doc_id) group by doc_id) p on p.doc_id = d.doc_id""")
+def q_apply_all_intended(spark, sf_dir):
+    rows = gate.full_rows(rules.local_rows(TEXT))
+    return docs(spark, sf_dir).select("doc_id", F.sha2(edits.applied_all(TEXT, rows), 256).alias("edited_sha256"))
+
+
+@query("q_apply_all_observed")
+def q_apply_all_observed(spark, sf_dir):
+    rows = F.slice(F.filter(gate.final_local(TEXT), lambda r: r["category"] != "style"), 1, 20)
+    return docs(spark, sf_dir).select("doc_id", F.sha2(edits.applied_all(TEXT, rows, "observed"), 256).alias("edited_sha256"))
+
+
+_RANK = "case severity when 'error' then 3 when 'warn' then 2 when 'info' then 1 else 0 end"
+
+
+@query("q_client_merge", f"""select doc_id, rule::bigint as rule, "start"::bigint as "start", row_number() over (partition by doc_id order by {_RANK} desc, "start", src, ord)::bigint as rank from (
+    select *, row_number() over (partition by doc_id, case when {O.norm('original')} <> '' then concat_ws('|', {O.norm('original')}, {O.norm('replacement')}, title) else concat_ws('-', "start", "end", title, replacement) end order by src, ord) as nth
+    from (select *, 0 as src from ({_LOCAL}) where rule <> 7 union all select *, 1 as src from ({_LOCAL}))) where nth = 1""")
+def q_client_merge(spark, sf_dir):
+    every = rules.scan(docs(spark, sf_dir)).withColumn("confidence", F.lit(None).cast("double"))
+    return edits.merged(every.where("rule <> 7"), every).select("doc_id", *long("rule", "start", "rank"))
+
+
+@query("q_severity_sort", f'select doc_id, ord::bigint as ord, row_number() over (partition by doc_id order by {_RANK} desc, "start", ord)::bigint as rank from ({_LOCAL})')
+def q_severity_sort(spark, sf_dir):
+    from pyspark.sql import Window as W
+
+    every = rules.scan(docs(spark, sf_dir)).withColumn("confidence", F.lit(None).cast("double"))
+    return every.withColumn("rank", F.row_number().over(W.partitionBy("doc_id").orderBy(*edits.importance(), "ord"))).select("doc_id", *long("ord", "rank"))
+
+
+@query("q_quota_other", """select doc_id, ord::bigint as ord from (select doc_id, unnest(range(0, doc_id % 5)) as ord from documents) where ord < 2""")
+def q_quota_other(spark, sf_dir):
+    def row(i: Column) -> Column:
+        given = {"source": F.lit("ai"), "start": i * 20, "end": i * 20 + 1, "ord": i, "category": F.lit("other"), "severity": F.lit("info"), "title": F.lit("Suggestion"), "original": F.lit("a"), "replacement": F.lit("b")}
+        return F.struct(*(given.get(n, F.lit(None)).cast(t).alias(n) for n, t in gate.FIELDS))
+
+    n = (F.col("doc_id") % 5).cast("int")
+    made = F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), row)).otherwise(F.array().cast(gate.ROWS))
+    kept = gate.select(made, F.lit("x" * 200))
+    return docs(spark, sf_dir).select("doc_id", F.explode(kept).alias("r")).select("doc_id", F.col("r.ord").cast("long").alias("ord"))
+
+
+def _answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A made answer for each document: one good row, one without a range, one whose range is off by three, one with odd values."""
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet").where("n_chars >= 40").select("doc_id", "text")
+    items = [
+        F.struct(F.struct(F.lit(0).alias("start"), F.lit(4).alias("end")).alias("range"), F.substring("text", 1, 4).alias("original"), F.lit("Word").alias("replacement"), F.lit("spelling").alias("category"), F.lit("error").alias("severity"), F.lit(0.9).alias("confidence")),
+        F.struct(F.struct(F.lit(10).alias("start"), F.lit(18).alias("end")).alias("range"), F.substring("text", 14, 8).alias("original"), F.lit("moved").alias("replacement"), F.lit("nonsense").alias("category"), F.lit("loud").alias("severity"), F.lit(1.5).alias("confidence")),
+    ]
+    body = F.to_json(F.struct(F.array(*items).alias("suggestions")))
+    return d.select("doc_id", F.lit(0).alias("chunk_id"), F.lit(0).alias("chunk_start"), F.lit(0).alias("prefix_len"), F.concat(F.lit("```json\n"), body, F.lit("\n```")).alias("raw"))
+
+
+@query("q_ai_validate", """select doc_id, unnest([0, 1]::bigint[]) as item, unnest([0, 10]::bigint[]) as "start", unnest([4, 18]::bigint[]) as "end", unnest(['spelling', 'other']) as category, unnest(['error', 'info']) as severity,
+    unnest([0.9, null]::double[]) as confidence, unnest([sha256(text[1:4]), sha256(text[14:21])]) as checksum from documents where n_chars >= 40""")
+def q_ai_validate(spark, sf_dir):
+    found = model_rows.validated(_answers(spark, sf_dir), docs(spark, sf_dir))
+    return found.select("doc_id", *long("item", "start", "end"), "category", "severity", "confidence", "checksum")
+
+
+@query("q_ai_align", """with o as (select doc_id, text, text[14:21] as w from documents where n_chars >= 40),
+    c as (select doc_id, unnest(list_filter(range(0, length(text) - 7), lambda p: text[p + 1:p + 8] = w)) as p, w, text from o)
+    select doc_id, p::bigint as "start", (p + 8)::bigint as "end" from (select doc_id, case when any_value(text[11:18]) = any_value(w) then 10 else arg_min(p, abs(p - 10) * 1000000 + p) end as p from c group by doc_id)""")
+def q_ai_align(spark, sf_dir):
+    d = docs(spark, sf_dir).where(F.length("text") >= 40)
+    w = F.substring("text", 14, 8)
+    at = alignment.align(TEXT, F.lit(10), F.lit(18), w, F.lit("moved"), F.lit(None).cast("string"), F.lit(None).cast("string"))
+    return d.select("doc_id", at.alias("r")).select("doc_id", F.col("r.start").cast("long").alias("start"), F.col("r.end").cast("long").alias("end"))
+
+
+@query("q_ai_stages")
+def q_ai_stages(spark, sf_dir):
+    return model_rows.stages(_answers(spark, sf_dir), docs(spark, sf_dir))
+
+
+_OLD_NEW = "select doc_id, text as a, text[:length(text) // 2] || 'XY' || text[length(text) // 2 + 4:] as b from documents"
+
+
+@query("q_change_span", f"""select doc_id, i::bigint as "start", (length(a) - j)::bigint as end_a, (length(b) - j)::bigint as end_b from (
+    select *, coalesce(list_min(list_filter(range(0, least(length(a), length(b)) - i), lambda k: a[length(a) - k] <> b[length(b) - k])), least(length(a), length(b)) - i) as j from (
+    select *, coalesce(list_min(list_filter(range(0, least(length(a), length(b))), lambda k: a[k + 1] <> b[k + 1])), least(length(a), length(b))) as i from ({_OLD_NEW}) where a <> b and length(a) < 3000))""")
+def q_change_span(spark, sf_dir):
+    half = F.floor(F.length("text") / 2).cast("int")
+    new = F.concat(F.substring("text", F.lit(1), half), F.lit("XY"), F.substring("text", half + 4, F.length("text")))
+    pairs = docs(spark, sf_dir).where(F.length("text") < 3000).select("doc_id", TEXT.alias("a"), new.alias("b")).where("a <> b")
+    return pairs.select("doc_id", ranges.change_span(F.col("a"), F.col("b")).alias("s")).select("doc_id", *(F.col(f"s.{c}").cast("long").alias(c) for c in ("start", "end_a", "end_b")))
+
+
+@query("q_edit_shift", f"""select doc_id, rule::bigint as rule, s::bigint as "start", e::bigint as "end" from (select doc_id, rule, case when "start" >= 100 then "start" + 7 else "start" end as s, case when "start" >= 100 then "end" + 7 else "end" end as e from ({_LOCAL}))
+    where not (s < 117 and e > 100)""")
+def q_edit_shift(spark, sf_dir):
+    every = rules.scan(docs(spark, sf_dir)).withColumn("applied", F.lit(False))
+    return ranges.shift_after_edit(every, F.lit(100), F.lit(110), F.lit(117)).select("doc_id", *long("rule", "start", "end"))
+
+
+@query("q_routes", "select doc_id, case when length(t) - length(replace(t, 'X', '')) > 0 and doc_id % 3 = 0 then 'scoped' else 'full' end as route from (select doc_id, 'aXb' || text as t from documents)")
+def q_routes(spark, sf_dir):
+    old = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("ab"), TEXT))
+    pairs = docs(spark, sf_dir).select("doc_id", old.alias("old"), F.concat(F.lit("aXb"), TEXT).alias("new"))
+    return incremental.routed(pairs).select("doc_id", "route")
+
+
+@query("q_dedupe_by_content", "select sha256(text) as text_hash, min(doc_id) as doc_id from documents group by text")
+def q_dedupe_by_content(spark, sf_dir):
+    return incremental.distinct_texts(docs(spark, sf_dir)).select("text_hash", "doc_id")
+
+
+@query("q_latest_text", "select event_type as doc_id, arg_max(props, event_id) as text, max(event_id) as version from events group by event_type")
+def q_latest_text(spark, sf_dir):
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_type").alias("doc_id"), F.col("props").alias("text"), F.col("event_id").alias("version"))
+    return incremental.latest(events)
+
+
+@query("q_debounce_sessions", """select user_id, epoch_us(min(ts)) as start_us, epoch_us(max(ts)) as end_us, count(*) as n from (
+    select *, sum(new) over (partition by user_id order by ts, event_id rows unbounded preceding) as burst from (
+    select user_id, ts, event_id, case when ts >= lag(ts) over (partition by user_id order by ts, event_id) + interval 10 minutes then 1 else 0 end as new from events)) group by user_id, burst""")
+def q_debounce_sessions(spark, sf_dir):
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id", F.col("ts").cast("timestamp").alias("ts"))
+    found = incremental.sessions(events, "10 minutes")
+    return found.select("user_id", F.unix_micros("start").alias("start_us"), F.unix_micros("end").alias("end_us"), "n")
+
+
+@query("q_markdown_ranges")
+def q_markdown_ranges(spark, sf_dir):
+    d = docs(spark, sf_dir, "concat('# ', text, chr(10), chr(10), '```', chr(10), text, chr(10), '```')")
+    return with_structure(d).select("doc_id", F.size("prose").cast("long").alias("prose"), F.size("forbidden").cast("long").alias("forbidden"))
+
+
+@query("q_chunks")
+def q_chunks(spark, sf_dir):
+    found = structure.chunk_rows(docs(spark, sf_dir), structure.blocks(TEXT), mode="intended")
+    return found.select("doc_id", *long("chunk_id", "start", "end", "prefix_len"), F.length("content").cast("long").alias("n"))
+
+
+@query("q_grapheme_snap", "select doc_id, 3::bigint as \"start\", 7::bigint as \"end\" from documents where length(text) >= 8 and doc_id % 2 = 0")
+def q_grapheme_snap(spark, sf_dir):
+    d = docs(spark, sf_dir).where("length(text) >= 8 and doc_id % 2 = 0")
+    head = F.concat(F.translate(F.substring("text", 1, 3), "\n", " "), F.lit("é\U0001F44D\U0001F3FD"), F.lit("tail"))
+    return d.select("doc_id", T.snapped(head, F.lit(4), F.lit(6)).alias("r")).select("doc_id", F.col("r.start").cast("long").alias("start"), F.col("r.end").cast("long").alias("end"))
+
+
+@query("q_relocate")
+def q_relocate(spark, sf_dir):
+    d = docs(spark, sf_dir).where(F.length("text") >= 60)
+    none = F.lit(None).cast("string")
+    at = alignment.relocate(TEXT, F.lit(20), F.lit(30), F.regexp_replace(F.substring("text", 31, 12), " ", "  "), F.lit("x"), none, none)
+    return d.select("doc_id", at.alias("r")).select("doc_id", F.col("r.start").cast("long").alias("start"), F.col("r.end").cast("long").alias("end"))
+
+
+@query("q_conversation_rules", f"""select conv_id, turn, rule::bigint as rule, count(*) as n from (select conv_id, turn, r.rule from ({O.local_rows("(select conv_id * 1000000 + turn as doc_id, text as t from conversations)")}) r join conversations c on c.conv_id * 1000000 + c.turn = r.doc_id) group by conv_id, turn, rule""")
+def q_conversation_rules(spark, sf_dir):
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select((F.col("conv_id") * 1_000_000 + F.col("turn")).alias("doc_id"), "text", "conv_id", "turn")
+    found = turns.select("conv_id", "turn", F.explode(rules.local_rows(F.coalesce("text", F.lit("")))).alias("r"))
+    return found.groupBy("conv_id", "turn", F.col("r.rule").cast("long").alias("rule")).agg(F.count("*").alias("n"))
+
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents by language (until the analysis itself stands here)."""
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").groupBy("lang").count()
+    """What the analysis reports on each document, by category and severity."""
+    return analyse(docs(spark, sf_dir)).groupBy("category", "severity").agg(F.count("*").alias("n"))
