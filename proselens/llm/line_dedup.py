@@ -56,7 +56,18 @@ def _keys(w: Column, n: Column) -> Column:
 
     def four(m: Column) -> Column:
         b = _block(m)
-        return F.transform(F.sequence(F.lit(0), F.lit(3)), lambda j: F.xxhash64(j, b, F.slice(w, 1, b * j), F.slice(w, n - b * (3 - j) + 1, b * (3 - j))))
+
+        def part(k: int, from_end: bool) -> Column:
+            return F.slice(w, n - b * (k + 1) + 1 if from_end else b * k + 1, b)
+
+        def made(x: Column) -> Column:  # each hash goes on from the one of a block less
+            return F.array(x["s3"], F.xxhash64(F.lit(1), x["p1"], x["s2"]), F.xxhash64(F.lit(2), x["p2"], x["s1"]), F.xxhash64(F.lit(3), x["p3"]))
+
+        def longer(k: int):
+            return lambda x: F.struct(*(x[f"{c}{i}"].alias(f"{c}{i}") for c in "ps" for i in range(1, k)), *(F.xxhash64(x[f"{c}{k - 1}"], part(k - 1, c == "s")).alias(f"{c}{k}") for c in "ps"))
+
+        first = F.struct(*(F.xxhash64(b, part(0, c == "s")).alias(f"{c}1") for c in "ps"))
+        return F.flatten(F.transform(F.transform(F.transform(F.array(first), longer(2)), longer(3)), made))
 
     return F.when(n < MIN_WORDS, None).when((n % STEP == 0) & (n > MIN_WORDS), F.concat(four(n), four(n - 1))).otherwise(four(n))
 
@@ -118,7 +129,7 @@ def _near(docs: DataFrame, distinct: DataFrame) -> DataFrame:
     long = distinct.where(F.col("k0").isNotNull())
     keys = long.select("h", F.explode(F.when(F.col("k4").isNull(), F.array(*opened[:4])).otherwise(F.array(*opened))).alias("o")).select("h", "o.*")
     shared = keys.groupBy("key").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).where("lo <> hi").select("key")
-    hit = keys.join(shared, "key").groupBy("h").agg(F.min("low").alias("low"), F.max("high").alias("high")).join(long.select("h", "g", "place"), "h")
+    hit = keys.join(shared.hint("shuffle_hash"), "key").groupBy("h").agg(F.min("low").alias("low"), F.max("high").alias("high")).join(long.select("h", "g", "place"), "h")
     doc = F.floor(F.col("place") / F.lit(_LINES).cast("decimal(11,0)")).cast(_PLACE)
     hit = hit.withColumn("c_doc", doc).withColumn("line_no", (F.col("place") - doc * _LINES).cast("int"))
     wanted = hit.groupBy("c_doc").agg(F.collect_list(F.struct("line_no", "h", "g", "place", "low", "high")).alias("wanted"))
@@ -131,7 +142,7 @@ def _near(docs: DataFrame, distinct: DataFrame) -> DataFrame:
     lines = cut(found.select("h", "g", "place", "low", "high", F.split("bare", " ").alias("w")), "lines")
     variants = cut(lines.select("h", "g", F.inline(_variants(F.col("w"), F.size("w"), F.col("low"), F.col("high")))), "variants")
     several = variants.groupBy("key").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).where("lo <> hi").select("key")
-    members = cut(variants.join(several, "key"), "members").join(lines.select("h", "g", F.col("place").alias("at")), ["h", "g"])
+    members = cut(variants.join(several.hint("shuffle_hash"), "key"), "members").join(lines.select("h", "g", F.col("place").alias("at")), ["h", "g"])
     earliest = members.groupBy("key").agg(F.min(F.struct("at", "h", "g", "gone")).alias("e"))
     links = members.join(earliest, "key").where("e.h <> h").select("h", "g", F.col("e.h").alias("eh"), F.col("e.g").alias("eg"), "place", "gone", F.col("e.gone").alias("e_gone")).dropDuplicates(["h", "g", "eh", "eg"])
     mine, other = lines.select("h", "g", "w"), lines.select(F.col("h").alias("eh"), F.col("g").alias("eg"), F.col("w").alias("ew"))
@@ -151,14 +162,15 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     """
     filled = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     worded = _occurrences(filled).withColumn("w", F.split("bare", " ")).withColumn("n", F.size("w"))
-    worded = worded.select("h", "g", "n", _order(F.col("doc_id"), F.col("line_no")).alias("place"), _keys(F.col("w"), F.col("n")).alias("keys"))
-    worded = worded.select("h", "g", "n", "place", *(F.get("keys", F.lit(i)).alias(f"k{i}") for i in range(8)))
-    distinct = cut(worded.groupBy("h", "g").agg(F.min("place").alias("place"), *(F.max(c).alias(c) for c in ("n", *(f"k{i}" for i in range(8))))), "distinct")
+    worded = worded.select("doc_id", "t", "line_no", "h", "g", "n", _keys(F.col("w"), F.col("n")).alias("keys"))
+    every = cut(worded.select("doc_id", "t", "line_no", "h", "g", "n", *(F.get("keys", F.lit(i)).alias(f"k{i}") for i in range(8))), "occurrences")
+    placed = every.withColumn("place", _order(F.col("doc_id"), F.col("line_no"))).drop("doc_id", "t", "line_no")
+    distinct = cut(placed.groupBy("h", "g").agg(F.min("place").alias("place"), *(F.max(c).alias(c) for c in ("n", *(f"k{i}" for i in range(8))))), "distinct")
     near = _near(filled, distinct)
     judged = distinct.select("h", "g", F.col("place").alias("first")).join(near, ["h", "g"], "left")
     again = _order(F.col("doc_id"), F.col("line_no")) != F.col("first")
     gone = (
-        _occurrences(filled).drop("bare")
+        every.select("doc_id", "t", "line_no", "h", "g")
         .join(judged, ["h", "g"])
         .where(F.col("links").isNotNull() | again)
         .groupBy(F.col("doc_id").alias("g_id"), F.col("t").alias("g_t"))
@@ -169,7 +181,7 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     rows = docs.select(*names, F.xxhash64(F.coalesce("text", F.lit(""))).alias("_t")).join(gone, (F.col("_t") == F.col("g_t")) & F.col("doc_id").eqNullSafe(F.col("g_id")), "left")
     lines = F.split("text", "\n")
     kept = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("gone", i)), "\n"))
-    n_lines = F.coalesce(F.size(F.filter(F.split(_even(F.col("text")), "\n"), lambda x: x != "")), F.lit(0)).cast("long")
+    n_lines = F.regexp_count("text", F.lit(f"(?<![^\\n])[{_SPACE}]*[^{_SPACE}\\n]")).cast("long")
     n_gone = F.coalesce(F.size("gone"), F.lit(0)).cast("long")
     n_lines = F.when(F.col("text").isNull(), F.lit(0).cast("long")).otherwise(n_lines)
     n_gone = F.when(F.col("gone").isNull(), F.lit(0).cast("long")).otherwise(n_gone)
