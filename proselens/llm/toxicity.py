@@ -33,7 +33,7 @@ from .common import table
 @dataclass(frozen=True)
 class Settings:
     bits: int = 20
-    sample_rows: int = 20_000
+    sample_rows: int = 16_000
     epochs: int = 8
     alpha: float = 1.0
     beta: float = 1.0
@@ -119,6 +119,7 @@ def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -
                     by_id[i] = (label, at)
         order = sorted(by_id, key=lambda i: (wordscan.mix(np.array([hash(i) & (2**64 - 1)], np.uint64))[0], i))
         b, at, w = ftrl([(np.frombuffer(by_id[i][1], np.int32), by_id[i][0]) for i in order], s) if order else (0.0, np.zeros(0, int), np.zeros(0))
+        by_id.clear()
         yield pa.record_batch([pa.array([-1, *at.tolist()], pa.int32()), pa.array([b, *w.tolist()], pa.float64())], ["at", "weight"])
 
     got = sets.repartition(1).mapInArrow(learn, "at int, weight double").toArrow()
