@@ -6,7 +6,7 @@
    pages that have it and its own text while that is the same on all of them.  Pages of a shape that the template has
    met are added without a new alignment.  Templates merge with each other in the same way, so each partition makes
    its own and only these meet: first in many parts per host, then per host.
-3. A node is part of the wrapper where its text is constant over ``MIN_PAGES`` pages or more and at least half of the
+3. A block is part of the wrapper where its text is constant over ``MIN_PAGES`` pages or more and at least half of the
    host's; the others are slots.
 4. The text of a page is what stands in the slots of its article (an article element, or else main, or a content
    container, or else the body) outside of elements that are no article by tag, role or name: menus, headers and
@@ -112,13 +112,16 @@ class Page:
                 stack.append(node)
             elif name not in VOID:
                 stack.append(node)
+        self.block = [0] * len(self.tag)  # text in inline elements is part of the block they stand in
+        for node in range(1, len(self.tag)):
+            self.block[node] = node if self.tag[node] in BLOCKS else self.block[self.parent[node]]
         self.own: list[list[str]] = [[] for _ in self.tag]
         for node, piece in self.pieces:
             if piece != "\n\0":
-                self.own[node].append(piece)
+                self.own[self.block[node]].append(piece)
 
     def text_mark(self, node: int) -> int:
-        """A number for the own text of a node, 0 for blank ones."""
+        """A number for the own text of a block, 0 for blank ones and for inline elements."""
         words = " ".join("".join(self.own[node]).split())
         return zlib.crc32(words.encode("utf-8", "replace")) or 1 if words else 0
 
@@ -187,7 +190,7 @@ class Page:
                 if now:
                     blocks.append("".join(now))
                     now = []
-            elif node not in skip:
+            elif self.block[node] not in skip:
                 now.append(piece)
         blocks.append("".join(now))
         return "\n".join(b for b in (" ".join(b.split()) for b in blocks) if b)

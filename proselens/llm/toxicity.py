@@ -41,10 +41,6 @@ class Settings:
     l2: float = 0.01
     positive_weight: float = 2.0
 
-    def l1_for(self, rows: int) -> float:
-        """L1 as chosen for 16,000 rows, less with the root of a smaller sample, as sums of gradients are smaller there."""
-        return min(self.l1, max(1.0, self.l1 * math.sqrt(rows / 16_000)))
-
 
 @dataclass(frozen=True)
 class Model:
@@ -80,10 +76,9 @@ def ftrl(rows: list[tuple[np.ndarray, int]], s: Settings) -> tuple[float, np.nda
     """FTRL-proximal over rows of (distinct coordinates, label), in the order given; returns intercept, coordinates, weights."""
     z, n = np.zeros(1 << s.bits), np.zeros(1 << s.bits)
     zb = nb = 0.0
-    l1 = s.l1_for(len(rows))
 
     def weights(z, n):
-        return np.where(np.abs(z) <= l1, 0.0, (np.sign(z) * l1 - z) / ((s.beta + np.sqrt(n)) / s.alpha + s.l2))
+        return np.where(np.abs(z) <= s.l1, 0.0, (np.sign(z) * s.l1 - z) / ((s.beta + np.sqrt(n)) / s.alpha + s.l2))
 
     for _ in range(s.epochs):
         for at, label in rows:
