@@ -48,28 +48,25 @@ def _even(text: Column) -> Column:
     return F.when(text.rlike(_UNEVEN), F.regexp_replace(single, "(?<![^\\n]) | (?![^\\n])", "")).otherwise(text)
 
 
-def _keys(w: Column, n: Column) -> Column:
-    """Coarse keys: four, or eight for lines whose length begins a new block size (the last four are of the size before).
+def _with_keys(lines: DataFrame) -> DataFrame:
+    """Lines with n (their words) and coarse keys k0 to k7, null where there are none.
 
-    They are made in one lambda: written out, the generated code is too long for the JVM to compile.
+    The last four are for lines whose length begins a new block size, with the size before.  First and last words are
+    taken as parts of the line, by its blanks, without making words of it.
     """
-
-    def four(m: Column) -> Column:
-        b = _block(m)
-
-        def part(k: int, from_end: bool) -> Column:
-            return F.slice(w, n - b * (k + 1) + 1 if from_end else b * k + 1, b)
-
-        def made(x: Column) -> Column:  # each hash goes on from the one of a block less
-            return F.array(x["s3"], F.xxhash64(F.lit(1), x["p1"], x["s2"]), F.xxhash64(F.lit(2), x["p2"], x["s1"]), F.xxhash64(F.lit(3), x["p3"]))
-
-        def longer(k: int):
-            return lambda x: F.struct(*(x[f"{c}{i}"].alias(f"{c}{i}") for c in "ps" for i in range(1, k)), *(F.xxhash64(x[f"{c}{k - 1}"], part(k - 1, c == "s")).alias(f"{c}{k}") for c in "ps"))
-
-        first = F.struct(*(F.xxhash64(b, part(0, c == "s")).alias(f"{c}1") for c in "ps"))
-        return F.flatten(F.transform(F.transform(F.transform(F.array(first), longer(2)), longer(3)), made))
-
-    return F.when(n < MIN_WORDS, None).when((n % STEP == 0) & (n > MIN_WORDS), F.concat(four(n), four(n - 1))).otherwise(four(n))
+    n, bare = F.col("n"), F.col("bare")
+    counted = lines.withColumn("n", (F.length("bare") - F.length(F.replace("bare", F.lit(" "), F.lit(""))) + 1).cast("int"))
+    families = ((0, n, n >= MIN_WORDS), (4, n - 1, (n % STEP == 0) & (n > MIN_WORDS)))
+    hashes, keys = {}, {}
+    for base, m, there in families:
+        for k in (1, 2, 3):
+            for side, sign in (("p", 1), ("s", -1)):
+                part = F.call_function("substring_index", bare, F.lit(" "), _block(m) * (k * sign))
+                hashes[f"{side}{base + k}"] = F.when(there, F.xxhash64(part))
+        for j in range(4):
+            ends = [F.col(f"p{base + j}")] * (j > 0) + [F.col(f"s{base + 3 - j}")] * (j < 3)
+            keys[f"k{base + j}"] = F.when(there, F.xxhash64(F.lit(j), _block(m), *ends))
+    return counted.withColumns(hashes).withColumns(keys).drop(*hashes)
 
 
 def _block(n: Column) -> Column:
@@ -161,9 +158,7 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     n_lines counts lines with words, n_near those removed as near to an earlier line only, n_links their links.
     """
     filled = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    worded = _occurrences(filled).withColumn("w", F.split("bare", " ")).withColumn("n", F.size("w"))
-    worded = worded.select("doc_id", "t", "line_no", "h", "g", "n", _keys(F.col("w"), F.col("n")).alias("keys"))
-    every = cut(worded.select("doc_id", "t", "line_no", "h", "g", "n", *(F.get("keys", F.lit(i)).alias(f"k{i}") for i in range(8))), "occurrences")
+    every = cut(_with_keys(_occurrences(filled)).select("doc_id", "t", "line_no", "h", "g", "n", *(f"k{i}" for i in range(8))), "occurrences")
     placed = every.withColumn("place", _order(F.col("doc_id"), F.col("line_no"))).drop("doc_id", "t", "line_no")
     distinct = cut(placed.groupBy("h", "g").agg(F.min("place").alias("place"), *(F.max(c).alias(c) for c in ("n", *(f"k{i}" for i in range(8))))), "distinct")
     near = _near(filled, distinct)
