@@ -17,7 +17,8 @@ from proselens.sources.documents import status
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
-TEXT = F.col("text")
+def col_text() -> Column:
+    return F.col("text")
 
 
 def query(name: str, sql: str | None = None):
@@ -84,7 +85,7 @@ def _ranged(df: DataFrame, array: Column) -> DataFrame:
 
 @query("q_url_spans", f'select doc_id, s as "start", e as "end" from ({_URLS})')
 def q_url_spans(spark, sf_dir):
-    return _ranged(docs(spark, sf_dir, _LINKED), structure.addresses(TEXT))
+    return _ranged(docs(spark, sf_dir, _LINKED), structure.addresses(col_text()))
 
 
 _TARGETS = f"select doc_id, s + position('(' in t[s + 1:]) - 1 as s, e from ({_LINKS})"
@@ -92,7 +93,7 @@ _TARGETS = f"select doc_id, s + position('(' in t[s + 1:]) - 1 as s, e from ({_L
 
 @query("q_link_targets", f'select doc_id, s::bigint as "start", e::bigint as "end" from ({_TARGETS})')
 def q_link_targets(spark, sf_dir):
-    return _ranged(docs(spark, sf_dir, _LINKED), structure.link_targets(TEXT))
+    return _ranged(docs(spark, sf_dir, _LINKED), structure.link_targets(col_text()))
 
 
 _MERGED = f"""select doc_id, min(s) as s, max(e) as e from (select *, sum(new) over (partition by doc_id order by s, e rows unbounded preceding) as island from (
@@ -102,13 +103,13 @@ _MERGED = f"""select doc_id, min(s) as s, max(e) as e from (select *, sum(new) o
 
 @query("q_ranges_merged", f'select doc_id, s::bigint as "start", e::bigint as "end" from ({_MERGED})')
 def q_ranges_merged(spark, sf_dir):
-    return _ranged(docs(spark, sf_dir, _LINKED), structure.plain_forbidden(TEXT))
+    return _ranged(docs(spark, sf_dir, _LINKED), structure.plain_forbidden(col_text()))
 
 
 @query("q_ranges_merged_table", f'select doc_id, s::bigint as "start", e::bigint as "end" from ({_MERGED})')
 def q_ranges_merged_table(spark, sf_dir):
     d = docs(spark, sf_dir, _LINKED)
-    return ranges.merge_table(_ranged(d, structure.addresses(TEXT)).unionByName(_ranged(d, structure.link_targets(TEXT))))
+    return ranges.merge_table(_ranged(d, structure.addresses(col_text())).unionByName(_ranged(d, structure.link_targets(col_text()))))
 
 
 _LINKED_LOCAL = O.local_rows(O.docs_view(expression=_LINKED))
@@ -118,7 +119,7 @@ _LINKED_LOCAL = O.local_rows(O.docs_view(expression=_LINKED))
     where not exists (select 1 from ({_MERGED}) f where f.doc_id = l.doc_id and l."start" < f.e and l."end" > f.s)""")
 def q_outside_forbidden(spark, sf_dir):
     d = docs(spark, sf_dir, _LINKED)
-    kept = ranges.outside_join(rules.scan(d), _ranged(d, structure.plain_forbidden(TEXT)))
+    kept = ranges.outside_join(rules.scan(d), _ranged(d, structure.plain_forbidden(col_text())))
     return kept.select("doc_id", *long("rule", "start", "end"))
 
 
@@ -131,13 +132,13 @@ _BLOCKS = f"""select doc_id, s + (length(m) - length(ltrim(m, ' '))) as s, s + l
     where exists (select 1 from ({_BLOCKS}) p where p.doc_id = l.doc_id and l."start" >= p.s and l."end" <= p.e)""")
 def q_within_prose(spark, sf_dir):
     d = docs(spark, sf_dir, _BROKEN)
-    kept = ranges.within_join(rules.scan(d), _ranged(d, structure.blocks(TEXT)))
+    kept = ranges.within_join(rules.scan(d), _ranged(d, structure.blocks(col_text())))
     return kept.select("doc_id", *long("rule", "start", "end"))
 
 
 @query("q_paragraphs_intended", f"""select doc_id, s::bigint as "start", e::bigint as "end" from ({O.spans(O.docs_view(expression=_BROKEN), "[^" + chr(92) + "n]+")})""")
 def q_paragraphs_intended(spark, sf_dir):
-    return _ranged(docs(spark, sf_dir, _BROKEN), structure.paragraphs(TEXT, "intended"))
+    return _ranged(docs(spark, sf_dir, _BROKEN), structure.paragraphs(col_text(), "intended"))
 
 
 @query("q_paragraphs", """select doc_id, s::bigint as "start", e::bigint as "end" from (
@@ -146,12 +147,12 @@ def q_paragraphs_intended(spark, sf_dir):
         select doc_id, length(t) as n, list_filter(range(0, length(t)), lambda p: t[p + 1] = chr(10) and t[p + 2] = chr(10)) as pos
         from (select doc_id, replace(text, chr(10), chr(10) || chr(10)) as t from documents)))) where e > s""")
 def q_paragraphs(spark, sf_dir):
-    return _ranged(docs(spark, sf_dir, _BROKEN), structure.paragraphs(TEXT))
+    return _ranged(docs(spark, sf_dir, _BROKEN), structure.paragraphs(col_text()))
 
 
 @query("q_token_count", f"select doc_id, {O.TOKENS}::bigint as tokens, {O.LETTERS}::bigint as letters from (select doc_id, text as t from documents)")
 def q_token_count(spark, sf_dir):
-    return docs(spark, sf_dir).select("doc_id", T.token_count(TEXT).cast("long").alias("tokens"), T.letter_count(TEXT).cast("long").alias("letters"))
+    return docs(spark, sf_dir).select("doc_id", T.token_count(col_text()).cast("long").alias("tokens"), T.letter_count(col_text()).cast("long").alias("letters"))
 
 
 @query("q_style_budget", """select doc_id, n_chars as length, c as correctness, ((case when least(3, floor(0.15 * c)) > 0 then least(3, floor(0.15 * c)) else 3 end) * ceil(n_chars / 1000.0))::bigint as budget
@@ -169,19 +170,19 @@ def q_token_distance(spark, sf_dir):
 
 @query("q_selected_local", f'select l.doc_id, l.rule::bigint as rule, l."start"::bigint as "start", l."end"::bigint as "end" from ({_LOCAL}) l join ({O.selected(O.docs_view())}) k using (doc_id, ord)')
 def q_selected_local(spark, sf_dir):
-    kept = gate.select(gate.full_rows(rules.local_rows(TEXT)), TEXT)
+    kept = gate.select(gate.full_rows(rules.local_rows(col_text())), col_text())
     return gate.as_rows(docs(spark, sf_dir), kept).select("doc_id", *long("rule", "start", "end"))
 
 
 @query("q_final_local", f'select doc_id, rule::bigint as rule, "start"::bigint as "start", "end"::bigint as "end", original, replacement, category, severity from ({O.final(O.docs_view())})')
 def q_final_local(spark, sf_dir):
-    found = gate.as_rows(docs(spark, sf_dir), gate.final_local(TEXT))
+    found = gate.as_rows(docs(spark, sf_dir), gate.final_local(col_text()))
     return found.select("doc_id", *long("rule", "start", "end"), "original", "replacement", "category", "severity")
 
 
 @query("q_final_by_category", f"select category, count(*) as n from ({O.final(O.docs_view())}) group by category")
 def q_final_by_category(spark, sf_dir):
-    return gate.as_rows(docs(spark, sf_dir), gate.final_local(TEXT)).groupBy("category").agg(F.count("*").alias("n"))
+    return gate.as_rows(docs(spark, sf_dir), gate.final_local(col_text())).groupBy("category").agg(F.count("*").alias("n"))
 
 
 @query("q_analysis")
@@ -202,14 +203,14 @@ _KEPT_LOCAL = f"select * from (select *, max(\"end\") over (partition by doc_id
     select doc_id, string_agg(substring(text, prev + 1, "start" - prev) || replacement, '' order by ord) as head, max("end") as last from (
         select k.*, d.text, coalesce(lag("end") over (partition by k.doc_id order by ord), 0) as prev from ({_KEPT_LOCAL}) k join documents d on d.doc_id = k.doc_id) group by doc_id) p on p.doc_id = d.doc_id""")
 def q_apply_all_intended(spark, sf_dir):
-    rows = gate.full_rows(rules.local_rows(TEXT))
-    return docs(spark, sf_dir).select("doc_id", F.sha2(edits.applied_all(TEXT, rows), 256).alias("edited_sha256"))
+    rows = gate.full_rows(rules.local_rows(col_text()))
+    return docs(spark, sf_dir).select("doc_id", F.sha2(edits.applied_all(col_text(), rows), 256).alias("edited_sha256"))
 
 
 @query("q_apply_all_observed")
 def q_apply_all_observed(spark, sf_dir):
-    rows = F.slice(F.filter(gate.final_local(TEXT), lambda r: r["category"] != "style"), 1, 20)
-    return docs(spark, sf_dir).select("doc_id", F.sha2(edits.applied_all(TEXT, rows, "observed"), 256).alias("edited_sha256"))
+    rows = F.slice(F.filter(gate.final_local(col_text()), lambda r: r["category"] != "style"), 1, 20)
+    return docs(spark, sf_dir).select("doc_id", F.sha2(edits.applied_all(col_text(), rows, "observed"), 256).alias("edited_sha256"))
 
 
 _RANK = "case severity when 'error' then 3 when 'warn' then 2 when 'info' then 1 else 0 end"
@@ -267,7 +268,7 @@ def q_ai_validate(spark, sf_dir):
 def q_ai_align(spark, sf_dir):
     d = docs(spark, sf_dir).where(F.length("text") >= 40)
     w = F.substring("text", 14, 8)
-    at = alignment.align(TEXT, F.lit(10), F.lit(18), w, F.lit("moved"), F.lit(None).cast("string"), F.lit(None).cast("string"))
+    at = alignment.align(col_text(), F.lit(10), F.lit(18), w, F.lit("moved"), F.lit(None).cast("string"), F.lit(None).cast("string"))
     return d.select("doc_id", at.alias("r")).select("doc_id", F.col("r.start").cast("long").alias("start"), F.col("r.end").cast("long").alias("end"))
 
 
@@ -285,7 +286,7 @@ _OLD_NEW = "select doc_id, text as a, text[:length(text) // 2] || 'XY' || text[l
 def q_change_span(spark, sf_dir):
     half = F.floor(F.length("text") / 2).cast("int")
     new = F.concat(F.substring("text", F.lit(1), half), F.lit("XY"), F.substring("text", half + 4, F.length("text")))
-    pairs = docs(spark, sf_dir).where(F.length("text") < 3000).select("doc_id", TEXT.alias("a"), new.alias("b")).where("a <> b")
+    pairs = docs(spark, sf_dir).where(F.length("text") < 3000).select("doc_id", col_text().alias("a"), new.alias("b")).where("a <> b")
     return pairs.select("doc_id", ranges.change_span(F.col("a"), F.col("b")).alias("s")).select("doc_id", *(F.col(f"s.{c}").cast("long").alias(c) for c in ("start", "end_a", "end_b")))
 
 
@@ -298,8 +299,8 @@ def q_edit_shift(spark, sf_dir):
 
 @query("q_routes", "select doc_id, case when length(t) - length(replace(t, 'X', '')) > 0 and doc_id % 3 = 0 then 'scoped' else 'full' end as route from (select doc_id, 'aXb' || text as t from documents)")
 def q_routes(spark, sf_dir):
-    old = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("ab"), TEXT))
-    pairs = docs(spark, sf_dir).select("doc_id", old.alias("old"), F.concat(F.lit("aXb"), TEXT).alias("new"))
+    old = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("ab"), col_text()))
+    pairs = docs(spark, sf_dir).select("doc_id", old.alias("old"), F.concat(F.lit("aXb"), col_text()).alias("new"))
     return incremental.routed(pairs).select("doc_id", "route")
 
 
@@ -331,7 +332,7 @@ def q_markdown_ranges(spark, sf_dir):
 
 @query("q_chunks")
 def q_chunks(spark, sf_dir):
-    found = structure.chunk_rows(docs(spark, sf_dir), structure.blocks(TEXT), mode="intended")
+    found = structure.chunk_rows(docs(spark, sf_dir), structure.blocks(col_text()), mode="intended")
     return found.select("doc_id", *long("chunk_id", "start", "end", "prefix_len"), F.length("content").cast("long").alias("n"))
 
 
@@ -346,7 +347,7 @@ def q_grapheme_snap(spark, sf_dir):
 def q_relocate(spark, sf_dir):
     d = docs(spark, sf_dir).where(F.length("text") >= 60)
     none = F.lit(None).cast("string")
-    at = alignment.relocate(TEXT, F.lit(20), F.lit(30), F.regexp_replace(F.substring("text", 31, 12), " ", "  "), F.lit("x"), none, none)
+    at = alignment.relocate(col_text(), F.lit(20), F.lit(30), F.regexp_replace(F.substring("text", 31, 12), " ", "  "), F.lit("x"), none, none)
     return d.select("doc_id", at.alias("r")).select("doc_id", F.col("r.start").cast("long").alias("start"), F.col("r.end").cast("long").alias("end"))
 
 
