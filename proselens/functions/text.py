@@ -103,13 +103,32 @@ def grapheme_starts(text: Column) -> Column:
 
 
 def snapped(text: Column, start: Column, end: Column) -> Column:
-    """A range widened to grapheme boundaries: the last start not after ``start``, the first not before ``end``."""
-    starts = grapheme_starts(text)
-    low = F.coalesce(F.array_max(F.filter(starts, lambda s: s <= start)), F.lit(0))
-    high = F.coalesce(F.array_min(F.filter(starts, lambda s: s >= end)), F.length(text))
-    # the scan stops at the first cluster not before ``end``, so a start beyond it is not reached
-    last = F.coalesce(F.array_max(F.filter(starts, lambda s: (s <= start) & (s <= high))), F.lit(0))
-    return F.struct(F.least(low, last).alias("start"), high.alias("end"))
+    """A range widened to grapheme boundaries: the last start not after ``start``, the first not before ``end``.
+
+    Clusters are counted only between the nearest places on both sides that are boundaries for certain (between two
+    characters of ASCII), so a range in a long text does not cost the text's clusters.
+    """
+    plain = "[\\n -~]"
+    low, high = F.greatest(F.least(start, end), F.lit(0)), F.greatest(start, end, F.lit(0))
+    left, right = F.greatest(low - 48, F.lit(0)), high
+    before = F.length(F.regexp_extract(slice_of(text, left, low + 1), f"(?s)^(.*{plain}){plain}", 1))
+    after = F.length(F.regexp_extract(slice_of(text, right, high + 48), f"(?s)^(.*?{plain}){plain}", 1))
+    window = F.struct(
+        F.when(before > 0, left + before).otherwise(0).cast("int").alias("low"),
+        F.when(after > 0, right + after).otherwise(F.length(text)).cast("int").alias("high"),
+    )
+
+    def scanned(w: Column) -> Column:
+        def step(a: Column, n: Column) -> Column:
+            reached = F.coalesce(a["high"], F.when(a["at"] >= end, a["at"]))
+            is_low = (a["at"] <= start) & (a["high"].isNull() | (a["at"] == a["high"]))
+            return F.struct((a["at"] + n).alias("at"), F.when(is_low, a["at"]).otherwise(a["low"]).alias("low"), reached.alias("high"))
+
+        clusters = F.regexp_extract_all(slice_of(text, w["low"], w["high"]), F.lit("\\X"), F.lit(0))
+        begin = F.struct(w["low"].alias("at"), w["low"].alias("low"), F.lit(None).cast("int").alias("high"))
+        return F.aggregate(F.transform(clusters, lambda c: F.length(c)), begin, step, lambda a: F.struct(a["low"].alias("start"), F.coalesce(a["high"], w["high"]).alias("end")))
+
+    return let(window, scanned)
 
 
 def utf16_offset(text: Column, offset: Column) -> Column:

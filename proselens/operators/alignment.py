@@ -13,18 +13,18 @@ from proselens.operators.structure import is_sentence_start
 def occurrences(text: Column, wanted: Column) -> Column:
     """The starts of all occurrences, overlapping ones too.
 
-    Places are proposed by splitting at the first code point of what is wanted, so a long text costs its length.
+    The text is split before each of them, so a long text costs its length and the list no more than the places in it.
     """
-    first = F.substring(wanted, 1, 1)
-    pieces = F.transform(F.split(text, F.concat(F.lit("\\Q"), first, F.lit("\\E")), -1), lambda p: F.length(p))
+    quoted = F.concat(F.lit("(?=\\Q"), F.replace(wanted, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E)"))
+    pieces = F.transform(F.split(text, quoted, -1), lambda p: F.length(p))
 
     def step(a: Column, n: Column) -> Column:
         at = a["at"] + n
-        return F.struct((at + 1).alias("at"), F.array_append(a["found"], at).alias("found"))
+        return F.struct(at.alias("at"), F.array_append(a["found"], at).alias("found"))
 
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("found"))
-    places = F.aggregate(pieces, start, step, lambda a: F.slice(a["found"], 1, F.greatest(F.size(a["found"]) - 1, F.lit(0))))
-    return F.filter(places, lambda p: F.substring(text, p + 1, F.length(wanted)) == wanted)
+    first = F.when(F.startswith(text, wanted), F.array(F.lit(0))).otherwise(F.array().cast("array<int>"))
+    begin = F.struct(F.lit(0).alias("at"), first.alias("found"))
+    return F.aggregate(pieces, begin, step, lambda a: F.slice(a["found"], 1, F.greatest(F.size(a["found"]) - 1, F.lit(0))))
 
 
 def case_only(original: Column, replacement: Column) -> Column:

@@ -209,7 +209,7 @@ def q_apply_all_intended(spark, sf_dir):
 
 @query("q_apply_all_observed")
 def q_apply_all_observed(spark, sf_dir):
-    rows = F.slice(F.filter(gate.final_local(col_text()), lambda r: r["category"] != "style"), 1, 20)
+    rows = gate.final_local(col_text())
     return docs(spark, sf_dir).select("doc_id", F.sha2(edits.applied_all(col_text(), rows, "observed"), 256).alias("edited_sha256"))
 
 
