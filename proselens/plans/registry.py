@@ -290,6 +290,15 @@ def q_change_span(spark, sf_dir):
     return pairs.select("doc_id", ranges.change_span(F.col("a"), F.col("b")).alias("s")).select("doc_id", *(F.col(f"s.{c}").cast("long").alias(c) for c in ("start", "end_a", "end_b")))
 
 
+@query("q_change_span_whole")
+def q_change_span_whole(spark, sf_dir):
+    """The same over texts of all lengths, which the SQL does not reach."""
+    half = F.floor(F.length("text") / 2).cast("int")
+    new = F.concat(F.substring("text", F.lit(1), half), F.lit("XY"), F.substring("text", half + 4, F.length("text")))
+    pairs = docs(spark, sf_dir).select("doc_id", col_text().alias("a"), new.alias("b")).where("a <> b")
+    return pairs.select("doc_id", ranges.change_span(F.col("a"), F.col("b")).alias("s")).select("doc_id", *(F.col(f"s.{c}").cast("long").alias(c) for c in ("start", "end_a", "end_b")))
+
+
 @query("q_edit_shift", f"""select doc_id, rule::bigint as rule, s::bigint as "start", e::bigint as "end" from (select doc_id, rule, case when "start" >= 100 then "start" + 7 else "start" end as s, case when "start" >= 100 then "end" + 7 else "end" end as e from ({_LOCAL}))
     where not (s < 117 and e > 100)""")
 def q_edit_shift(spark, sf_dir):

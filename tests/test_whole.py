@@ -36,3 +36,18 @@ def test_apply_all_takes_every_suggestion(spark, tmp_path):
     assert "!!" not in edited[0] and "  " not in edited[0]
     got = {r.doc_id: r.edited_sha256 for r in registry.QUERIES["q_apply_all_observed"](spark, at).collect()}
     assert got == {i: sha256(t.encode()).hexdigest() for i, t in enumerate(edited)}
+
+
+def test_change_span_of_long_texts(spark, sf_dir):
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()}
+    assert any(len(t) >= 3000 for t in texts.values())
+    expected = {}
+    for i, a in texts.items():
+        b = a[: len(a) // 2] + "XY" + a[len(a) // 2 + 3 :]
+        least = min(len(a), len(b))
+        p = next((k for k in range(least) if a[k] != b[k]), least)
+        s = next((k for k in range(least - p) if a[-1 - k] != b[-1 - k]), least - p)
+        if a != b:
+            expected[i] = (p, len(a) - s, len(b) - s)
+    got = {r.doc_id: (r.start, r.end_a, r.end_b) for r in registry.QUERIES["q_change_span_whole"](spark, sf_dir).collect()}
+    assert got == expected
