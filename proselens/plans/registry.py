@@ -168,6 +168,13 @@ def q_token_distance(spark, sf_dir):
     return found.select("doc_id", *long("ord"), T.token_distance(F.col("original"), F.col("replacement")).cast("long").alias("changed"))
 
 
+@query("q_token_distance_whole")
+def q_token_distance_whole(spark, sf_dir):
+    """The same over the rows of all rules, insertions and substitutions too, which the SQL cannot measure."""
+    found = rules.scan(docs(spark, sf_dir))
+    return found.select("doc_id", *long("ord"), T.token_distance(F.col("original"), F.col("replacement")).cast("long").alias("changed"))
+
+
 @query("q_selected_local", f'select l.doc_id, l.rule::bigint as rule, l."start"::bigint as "start", l."end"::bigint as "end" from ({_LOCAL}) l join ({O.selected(O.docs_view())}) k using (doc_id, ord)')
 def q_selected_local(spark, sf_dir):
     kept = gate.select(gate.full_rows(rules.local_rows(col_text())), col_text())
@@ -352,6 +359,15 @@ def q_grapheme_snap(spark, sf_dir):
     return d.select("doc_id", T.snapped(head, F.lit(4), F.lit(6)).alias("r")).select("doc_id", F.col("r.start").cast("long").alias("start"), F.col("r.end").cast("long").alias("end"))
 
 
+@query("q_grapheme_snap_whole")
+def q_grapheme_snap_whole(spark, sf_dir):
+    """Ranges of two code points through the whole text of every document, one in 32 and one at the end."""
+    places = F.explode(F.array_distinct(F.array_append(F.sequence(F.lit(0), F.length("text"), F.lit(32)), F.length("text"))))
+    d = docs(spark, sf_dir).select("doc_id", F.coalesce("text", F.lit("")).alias("text")).select("doc_id", "text", places.alias("place"))
+    found = d.select("doc_id", "place", T.snapped(col_text(), F.col("place"), F.col("place") + 2).alias("r"))
+    return found.select("doc_id", F.col("place").cast("long").alias("place"), *(F.col(f"r.{c}").cast("long").alias(c) for c in ("start", "end")))
+
+
 @query("q_relocate")
 def q_relocate(spark, sf_dir):
     d = docs(spark, sf_dir).where(F.length("text") >= 60)

@@ -51,3 +51,39 @@ def test_change_span_of_long_texts(spark, sf_dir):
             expected[i] = (p, len(a) - s, len(b) - s)
     got = {r.doc_id: (r.start, r.end_a, r.end_b) for r in registry.QUERIES["q_change_span_whole"](spark, sf_dir).collect()}
     assert got == expected
+
+
+def test_token_distance_of_all_rules(spark, tmp_path):
+    import re
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            before, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                before, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, before + (x != y))
+        return row[-1]
+
+    def tokens(text):
+        return re.findall(r"[^\W\d_]+|[0-9]+|\S", text)
+
+    at = table(spark, tmp_path, ["Hello,world and more", "i recieve it . ok", "One - two is is fine!! the end", "go on", "Wait... Yes A... b ,c"])
+    rows = registry.QUERIES["q_local_all"](spark, at).collect()
+    assert {r.rule for r in rows} - {4, 7}
+    expected = {(r.doc_id, r.ord): distance(tokens(r.original or ""), tokens(r.replacement or "")) for r in rows}
+    got = {(r.doc_id, r.ord): r.changed for r in registry.QUERIES["q_token_distance_whole"](spark, at).collect()}
+    assert got == expected
+
+
+def test_snap_reaches_all_of_a_text(spark, tmp_path):
+    clusters = [["a", "é", "b", "\U0001f44d\U0001f3fd", "\n", "क्", "x"] * 30, list("short"), [], ["é"] * 200]
+    texts = ["".join(c) for c in clusters]
+    at = table(spark, tmp_path, texts)
+    expected = set()
+    for i, c in enumerate(clusters):
+        n, starts = len(texts[i]), [sum(map(len, c[:k])) for k in range(len(c))]
+        for p in {*range(0, n + 1, 32), n}:
+            high = min((s for s in starts if s >= p + 2), default=n)
+            expected.add((i, p, max((s for s in starts if s <= p), default=0), high))
+    got = [(r.doc_id, r.place, r.start, r.end) for r in registry.QUERIES["q_grapheme_snap_whole"](spark, at).collect()]
+    assert set(got) == expected and len(got) == len(expected)
