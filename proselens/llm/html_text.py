@@ -9,8 +9,8 @@
 3. A block is part of the wrapper where its text is constant over ``MIN_PAGES`` pages or more and at least half of the
    host's; the others are slots.
 4. The text of a page is what stands in the slots of its article (an article element, or else main, or a content
-   container, or else the body) outside of elements that are no article by tag, role or name: menus, headers and
-   footers of the page, sidebars, notices, adverts, forms, scripts, styles, reader comments.  Should all of an article
+   container, or else the body) outside of elements that are no article by tag, role or name (a whole class or id):
+   menus, headers and footers of the page, sidebars, notices, adverts, forms, scripts, styles, reader comments.  Should all of an article
    be constant (a host of copies), it is kept.
 
 Character references are decoded, white space in a block becomes one space, blocks are trimmed and joined by a line
@@ -101,7 +101,7 @@ class Page:
             self.tag.append(name)
             self.kind.append(name if words == " " else f"{name}.{'.'.join(words.split())}")
             self.parent.append(stack[-1])
-            self.no.append(name in NEVER or attributes.get("role", "").lower() in ROLES or "hidden" in attributes or (words != " " and not NAMES.isdisjoint(re.split(r"[\s_\-]+", words))))
+            self.no.append(name in NEVER or attributes.get("role", "").lower() in ROLES or "hidden" in attributes or not NAMES.isdisjoint(words.split()))
             if name in BLOCKS:
                 self.pieces.append((node, "\n\0"))
             elif name in ("br", "td", "th"):
@@ -147,13 +147,37 @@ class Page:
         return next((i for i in range(1, len(self.tag)) if self.tag[i] == "body"), 0)
 
     def shut(self) -> list[bool]:
-        """Which nodes are, or stand in, what is no article."""
+        """Which nodes are, or stand in, what is no article; not what holds the articles with most of the page's text."""
+        out = self.marked(frozenset())
+        roots = {i for i in range(1, len(self.tag)) if self.tag[i] in ("article", "main") and not self.no[i]}
+        if not roots or not all(out[i] for i in roots):
+            return out
+        within = [False] * len(self.tag)
+        for i in range(1, len(self.tag)):
+            within[i] = i in roots or within[self.parent[i]]
+        held = left = 0
+        for node, piece in self.pieces:
+            if piece != "\n\0":
+                held += len(piece.strip()) if within[node] else 0
+                left += len(piece.strip()) if not out[node] else 0
+        if held <= left:
+            return out
+        spared = set()
+        for i in roots:
+            while i > 0 and i not in spared:
+                spared.add(i)
+                i = self.parent[i]
+        return self.marked(frozenset(i for i in spared if self.tag[i] == "form" or self.tag[i] not in NEVER))
+
+    def marked(self, spared: frozenset[int]) -> list[bool]:
+        """Nodes that are, or stand in, what is no article by tag, role or name, but for those spared."""
         out = [False] * len(self.tag)
         inside = [False] * len(self.tag)
         for i in range(1, len(self.tag)):
             up = self.parent[i]
             inside[i] = inside[up] or self.tag[i] in ("article", "main")
-            out[i] = out[up] or (self.no[i] and self.tag[i] not in ("html", "body", "article", "main")) or (self.tag[i] == "header" and not inside[i]) or (self.no[i] and self.tag[i] == "article" and inside[up])
+            named = self.no[i] and i not in spared and self.tag[i] not in ("html", "body", "article", "main") and not (self.tag[i] == "header" and inside[i])
+            out[i] = out[up] or named or (self.tag[i] == "header" and not inside[i] and i not in spared) or (self.no[i] and self.tag[i] == "article" and inside[up])
         return out
 
     def paths(self) -> list[str]:

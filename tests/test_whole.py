@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import pytest
+
+from proselens.llm import html_text
 from proselens.plans import registry
 
 
@@ -87,3 +90,18 @@ def test_snap_reaches_all_of_a_text(spark, tmp_path):
             expected.add((i, p, max((s for s in starts if s <= p), default=0), high))
     got = [(r.doc_id, r.place, r.start, r.end) for r in registry.QUERIES["q_grapheme_snap_whole"](spark, at).collect()]
     assert set(got) == expected and len(got) == len(expected)
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        '<body><article><header class="entry-header"><h1>Title</h1></header><p>Body of it.</p></article></body>',
+        '<body><article><header class="header"><h1>Title</h1></header><p>Body of it.</p></article></body>',
+        '<body><div class="site has-sidebar"><article><h1>Title</h1><p>Body of it.</p></article></div></body>',
+        '<body><div class="sidebar"><article><h1>Title</h1><p>Body of it.</p></article></div><p>Else</p></body>',
+        '<body><form><main><h1>Title</h1><p class="text_widget">Body of it.</p></main></form></body>',
+        '<body><main><h1>Title</h1><p>Body of it.</p><div class="ad">Buy</div></main><div class="sidebar"><article>More</article></div></body>',
+    ],
+)
+def test_html_keeps_the_article(page):
+    assert html_text.Page(page).text(frozenset()) == "Title\nBody of it."
