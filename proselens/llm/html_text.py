@@ -3,7 +3,8 @@
 1. Every page is parsed into a tree; neighbouring siblings of one kind (tag, class, id) are one repeated node.
 2. The trees of one host are aligned by simple tree matching: equal roots, and between the children the order-keeping
    alignment that matches most nodes.  The alignment is merged into the host's template: each node with the number of
-   pages that have it and its own text while that is the same on all of them.  Pages of a shape that the template has
+   pages that have it and its own text while that is the same on all of them.  Pages of a host with the same article
+   count as one page, so that copies of an article do not make it a wrapper.  Pages of a shape that the template has
    met are added without a new alignment.  Templates merge with each other in the same way, so each partition makes
    its own and only these meet: first in many parts per host, then per host.
 3. A block is part of the wrapper where its text is constant over ``MIN_PAGES`` pages or more and at least half of the
@@ -23,6 +24,7 @@ down to there only and extracted whole; repeated rows are extracted each; other
 
 from __future__ import annotations
 
+import hashlib
 import html
 import json
 import re
@@ -367,6 +369,15 @@ def located(whole: list, part: list) -> list[list] | None:
 def wrappers(pages: DataFrame) -> DataFrame:
     """(host, constant array<string>) of the hosts whose pages share a wrapper; ``pages``: host, html."""
 
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in wordscan.slices(batch, "html"):
+                rows = []
+                for host, source in zip(part.column("host").to_pylist(), part.column("html").to_pylist(), strict=True):
+                    page = Page(source or "")
+                    rows.append((host, hashlib.md5(page.text(frozenset()).encode("utf-8", "replace")).digest(), json.dumps(tree(page), separators=(",", ":"))))
+                yield pa.record_batch([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.string())], ["host", "article", "tree"])
+
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, Wrapper] = {}
 
@@ -376,9 +387,9 @@ def wrappers(pages: DataFrame) -> DataFrame:
             return pa.record_batch([pa.array([h for h, _ in rows], pa.string()), pa.array([t for _, t in rows], pa.string())], ["host", "tree"])
 
         for batch in batches:
-            for part in wordscan.slices(batch, "html"):
-                for host, source in zip(part.column("host").to_pylist(), part.column("html").to_pylist(), strict=True):
-                    held.setdefault(host, Wrapper()).add(tree(Page(source or "")))
+            for part in wordscan.slices(batch, "tree"):
+                for host, text in zip(part.column("host").to_pylist(), part.column("tree").to_pylist(), strict=True):
+                    held.setdefault(host, Wrapper()).add(json.loads(text))
                 if len(held) > HOSTS_HELD:
                     yield out()
         if held:
@@ -399,7 +410,8 @@ def wrappers(pages: DataFrame) -> DataFrame:
         found = {h: c for h, x in joined(t).items() if (c := constants(x))}
         return pa.table({"host": pa.array(found, pa.string()), "constant": pa.array(list(found.values()), pa.list_(pa.string()))})
 
-    first = cut(pages.mapInArrow(partial, "host string, tree string").withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(64))), "trees")
+    single = pages.mapInArrow(read, "host string, article binary, tree string").groupBy("host", "article").agg(F.min("tree").alias("tree")).select("host", "tree")
+    first = cut(single.mapInArrow(partial, "host string, tree string").withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(64))), "trees")
     cells = max(1, -(-first.count() // 500))
     some = first.withColumn("cell", F.pmod(F.xxhash64("host", "salt"), F.lit(cells))).groupBy("cell").applyInArrow(once, "host string, tree string")
     return some.withColumn("cell", F.pmod(F.xxhash64("host"), F.lit(cells))).groupBy("cell").applyInArrow(last, "host string, constant array<string>")

@@ -105,3 +105,11 @@ def test_snap_reaches_all_of_a_text(spark, tmp_path):
 )
 def test_html_keeps_the_article(page):
     assert html_text.Page(page).text(frozenset()) == "Title\nBody of it."
+
+
+def test_html_copies_of_an_article_are_no_wrapper(spark):
+    copy = "<body><article><h1>One</h1><blockquote>Said once.</blockquote><p>And more.</p></article></body>"
+    other = "<body><article><h1>Item %d</h1><p>Text %d</p></article></body>"
+    pages = [(i, "http://h.org/", copy if i < 3 else other % (i, i)) for i in range(6)]
+    got = {r.page_id: r.text for r in html_text.extracted(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert got == {i: "One\nSaid once.\nAnd more." if i < 3 else f"Item {i}\nText {i}" for i in range(6)}
