@@ -8,17 +8,19 @@ one length make one searcher, with words as the alphabet:
 * where the shift is 0, the hash of the whole suffix selects the bucket of patterns that can end here;
 * the words themselves are then compared, so a hash never decides.
 
-The patterns are built once on the driver and sent with the task: benchmark text is cut into parts of at most
-``part_bytes`` and each part is one pass over the documents, so what is broadcast is bounded whatever the benchmark.
-Documents are read whole, once a part, without a shuffle (with several parts the hits of a document are joined by
-their row).
+The windows are a table, made on the executors and dealt by hash into parts of at most ``part_bytes``; a window with its
+item is one row, so no item and no window can make a part larger.  The driver hands on one part at a time, and each
+executor builds the searchers from it.  Each part is one pass over the documents, without a shuffle; with several
+parts the hits are joined by the hash of the text, on which alone they depend.
 
 Defined cases: null texts have no words; items without words have no windows; items of the same id count as one; a
-null item_id takes no part; repeated documents are searched each; other columns are not looked at.
+null item_id takes no part; repeated documents are searched each, and rows of one doc_id, or of none, by their own
+texts; other columns are not looked at (``clean`` keeps them).
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -29,10 +31,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import wordscan
-from .common import table
+from .common import cut, fresh, table
 
 WINDOW = 10
-PART_BYTES = 32 << 20
+PART_BYTES = 16 << 20
 
 
 class Searcher:
@@ -79,30 +81,22 @@ class Searcher:
 
 
 class Patterns:
-    """All windows of some benchmark items: the words' numbers, and a searcher for each length of window."""
-
-    def __init__(self, items: list[tuple[object, str]], size: int = WINDOW):
-        self.items: list = []
-        number: dict[bytes, int] = {}
-        windows: dict[int, dict[tuple[int, ...], set[int]]] = defaultdict(lambda: defaultdict(set))
-        places: dict = {}
-        for item, text in items:
-            words = word_list(text)
-            if not words or item is None:
-                continue
-            k = places.setdefault(item, len(places))
-            ids = [number.setdefault(w, len(number) + 1) for w in words]
-            m = min(size, len(ids))
-            for a in range(len(ids) - m + 1):
-                windows[m][tuple(ids[a : a + m])].add(k)
-        self.items = list(places)
+    """The windows of one part: the words' numbers, and a searcher for each length of window."""
+
+    def __init__(self, windows: list[str], items: list[str]):
+        self.items = sorted(set(items))
+        place = {item: k for k, item in enumerate(self.items)}
+        self.number: dict[bytes, int] = {}
+        found: dict[int, dict[tuple[int, ...], list[int]]] = defaultdict(lambda: defaultdict(list))
+        for window, item in zip(windows, items, strict=True):
+            words = tuple(self.number.setdefault(w.encode(), len(self.number) + 1) for w in window.split(" "))
+            found[len(words)][words].append(place[item])
         hashes: dict[int, list[bytes]] = defaultdict(list)
-        for w in number:
-            hashes[int(wordscan.scan(pa.array([w.decode()])).hash[0])].append(w)
-        self.number = number
+        for w, h in zip(self.number, wordscan.scan(pa.array([w.decode() for w in self.number], pa.string())).hash.tolist(), strict=True):
+            hashes[h].append(w)
         self.hashes = np.array(sorted(hashes), np.uint64)
-        self.ids = np.array([number[hashes[h][0]] if len(hashes[h]) == 1 else -1 for h in sorted(hashes)], np.int64)
-        self.searchers = [Searcher(m, {w: sorted(k) for w, k in found.items()}, len(number)) for m, found in sorted(windows.items())]
+        self.ids = np.array([self.number[hashes[h][0]] if len(hashes[h]) == 1 else -1 for h in sorted(hashes)], np.int64)
+        self.searchers = [Searcher(m, dict(w), len(self.number)) for m, w in sorted(found.items())]
 
     def numbers(self, words: wordscan.Words) -> np.ndarray:
         """The number of each word, 0 for words of no pattern; a word that hashes as a pattern's is compared with it."""
@@ -115,69 +109,132 @@ class Patterns:
         return out
 
 
-def word_list(text: str | None) -> list[bytes]:
-    """The words of one text."""
-    words = wordscan.scan(pa.array([text or ""]))
-    return [words.flat[a:b].tobytes() for a, b in zip(words.start, words.end, strict=True)]
+def windows(benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
+    """(window string, item string) of all items of ``benchmark`` (item_id, text), each pair once; words with a blank between."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in wordscan.slices(batch, "text"):
+                words = wordscan.scan(part.column("text"))
+                flat, ends = words.flat.tobytes(), np.concatenate([[0], np.cumsum(words.counts)])
+                found, rows = [], []
+                for i in range(part.num_rows):
+                    own = [flat[a:b].decode() for a, b in zip(words.start[ends[i] : ends[i + 1]], words.end[ends[i] : ends[i + 1]], strict=True)]
+                    found += [" ".join(own[a : a + size]) for a in range(max(len(own) - size, 0) + 1)] if own else []
+                    rows += [i] * (len(found) - len(rows))
+                yield pa.record_batch([pa.array(found, pa.string()), part.column("item").take(pa.array(rows, pa.int64()))], ["window", "item"])
+
+    named = benchmark.where("item_id is not null").select(F.col("item_id").cast("string").alias("item"), "text")
+    return named.mapInArrow(work, "window string, item string").distinct()
+
+
+def parts(benchmark: DataFrame, size: int = WINDOW, part_bytes: int = PART_BYTES) -> Iterator[tuple[int, bytes]]:
+    """(how many parts, one part as Arrow bytes), part after part; a benchmark without windows is one empty part."""
+    held = cut(windows(benchmark, size), "windows")
+    total = held.agg(F.coalesce(F.sum(F.octet_length("window") + F.octet_length("item")), F.lit(0))).first()[0]
+    n = max(1, -(-int(total) // part_bytes))
+    for i in range(n):
+        t = held.where(F.pmod(F.xxhash64("window", "item"), F.lit(n)) == i).toArrow().sort_by([("window", "ascending"), ("item", "ascending")])
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, t.schema) as stream:
+            stream.write_table(t)
+        yield n, sink.getvalue().to_pybytes()
+
 
+_built: dict[bytes, Patterns] = {}
 
-def parts(benchmark: DataFrame, limit: int = PART_BYTES) -> Iterator[list[tuple[object, str]]]:
-    """The items (item_id, text), in runs of at most ``limit`` bytes of text (a longer item stands alone)."""
-    run, size = [], 0
-    for row in benchmark.where("item_id is not null and text is not null").select("item_id", "text").toLocalIterator():
-        n = len(row.text.encode())
-        if run and size + n > limit:
-            yield run
-            run, size = [], 0
-        run.append((row.item_id, row.text))
-        size += n
-    if run:
-        yield run
+
+def built(blob: bytes) -> Patterns:
+    """The searchers of a part; a worker keeps those of the last one."""
+    key = hashlib.md5(blob).digest()
+    if key not in _built:
+        _built.clear()
+        t = pa.ipc.open_stream(blob).read_all()
+        _built[key] = Patterns(t["window"].to_pylist(), t["item"].to_pylist())
+    return _built[key]
+
+
+def _key(text: str) -> F.Column:
+    return F.unhex(F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")))
+
+
+def _hits_by_text(docs: DataFrame, blobs: Iterator[bytes]) -> DataFrame:
+    """(k binary, hits, items) of the distinct texts of ``docs`` in which any of the parts occurs."""
+    passes = []
+    for blob in blobs:
+
+        def work(batches: Iterator[pa.RecordBatch], blob: bytes = blob) -> Iterator[pa.RecordBatch]:
+            patterns = built(blob)
+            for batch in batches:
+                for part in wordscan.slices(batch, "text"):
+                    for found in hits(part, patterns):
+                        yield found.select(["k", "hits", "items"]).take(pa.array(np.flatnonzero(found.column("hits").value_lengths().to_numpy())))
+
+        found = docs.select(_key("text").alias("k"), "text").mapInArrow(work, "k binary, hits array<int>, items array<string>")
+        passes.append(cut(found.groupBy("k").agg(F.first("hits").alias("hits"), F.first("items").alias("items")), "hits"))
+    whole = passes[0]
+    for other in passes[1:]:
+        whole = whole.unionByName(other)
+
+    def joined(name: str) -> F.Column:
+        return F.array_sort(F.array_distinct(F.flatten(F.collect_list(name)))).alias(name)
+
+    return cut(whole.groupBy("k").agg(joined("hits"), joined("items")), "hits")
 
 
 def find(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, part_bytes: int = PART_BYTES) -> DataFrame:
     """Every row of ``docs`` (doc_id, text) as doc_id, n_words, hits array<int> (numbers of hit words) and items array<string>."""
-    runs = list(parts(benchmark, part_bytes)) or [[]]
+    made = parts(benchmark, size, part_bytes)
+    n, first = next(made)
     kind = docs.schema["doc_id"]
     schema = T.StructType([kind, *T._parse_datatype_string("n_words bigint, hits array<int>, items array<string>").fields])
-
-    def searched(run: list[tuple[object, str]]) -> DataFrame:
-        patterns = Patterns(run, size)
+    if n == 1:
 
         def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            patterns = built(first)
             for batch in batches:
                 for part in wordscan.slices(batch, "text"):
                     yield from hits(part, patterns)
 
         return docs.select("doc_id", "text").mapInArrow(work, schema)
 
-    if len(runs) == 1:
-        return searched(runs[0])
-    whole = None
-    for run in runs:
-        found = searched(run)
-        whole = found if whole is None else whole.unionByName(found)
-    copies = F.count(F.lit(1)) / len(runs)  # repeated doc_ids of equal texts come out as often as they went in
-    merged = whole.groupBy("doc_id", "n_words").agg(F.array_distinct(F.flatten(F.collect_list("hits"))).alias("hits"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"), copies.cast("int").alias("copies"))
-    return merged.withColumn("copy", F.explode(F.sequence(F.lit(1), "copies"))).drop("copy", "copies")
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in wordscan.slices(batch, "text"):
+                yield pa.record_batch([part.column("doc_id"), part.column("k"), pa.array(wordscan.scan(part.column("text")).counts, pa.int64())], ["doc_id", "k", "n_words"])
+
+    found = _hits_by_text(docs, _chained(first, made))
+    counted = docs.select("doc_id", _key("text").alias("k"), "text").mapInArrow(count, T.StructType([kind, *T._parse_datatype_string("k binary, n_words bigint").fields]))
+    return counted.join(found, "k", "left").select("doc_id", "n_words", *(F.coalesce(c, F.array().cast(t)).alias(c) for c, t in (("hits", "array<int>"), ("items", "array<string>"))))
+
+
+def _chained(first: bytes, rest: Iterator[tuple[int, bytes]]) -> Iterator[bytes]:
+    yield first
+    for _, blob in rest:
+        yield blob
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, part_bytes: int = PART_BYTES) -> DataFrame:
     """The rows of ``docs`` (doc_id, text and any others) in whose text no window of ``benchmark`` stands."""
-    for run in parts(benchmark, part_bytes):
-        patterns = Patterns(run, size)
+    made = parts(benchmark, size, part_bytes)
+    n, first = next(made)
+    if n == 1:
 
-        def work(batches: Iterator[pa.RecordBatch], patterns: Patterns = patterns) -> Iterator[pa.RecordBatch]:
+        def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            patterns = built(first)
             for batch in batches:
                 for part in wordscan.slices(batch, "text"):
                     for found in hits(part, patterns):
                         yield part.take(pa.array(np.flatnonzero(found.column("hits").value_lengths().to_numpy() == 0)))
 
-        docs = docs.mapInArrow(work, docs.schema)
-    return docs
+        return docs.mapInArrow(work, docs.schema)
+    (k,) = fresh(docs, "k")
+    found = _hits_by_text(docs, _chained(first, made)).select(F.col("k").alias(k))
+    return docs.withColumn(k, _key("text")).join(found, k, "left_anti").select(*docs.columns)
 
 
 def hits(part: pa.RecordBatch, patterns: Patterns) -> Iterator[pa.RecordBatch]:
+    """The rows' own keys (doc_id or k), n_words, hits and items."""
     words = wordscan.scan(part.column("text"))
     ids, counts = patterns.numbers(words), words.counts
     ends = np.concatenate([[0], np.cumsum(counts)])
@@ -192,8 +249,9 @@ def hits(part: pa.RecordBatch, patterns: Patterns) -> Iterator[pa.RecordBatch]:
                 for first, which in searcher.search(own, shifts[a:b].tolist()):
                     covered.update(range(first, first + searcher.length))
                     items.update(which)
-        found[i] = (sorted(covered), sorted(str(patterns.items[k]) for k in items))
-    yield pa.record_batch([part.column("doc_id"), pa.array(counts, pa.int64()), pa.array([x for x, _ in found], pa.list_(pa.int32())), pa.array([x for _, x in found], pa.list_(pa.string()))], ["doc_id", "n_words", "hits", "items"])
+        found[i] = (sorted(covered), sorted(patterns.items[k] for k in items))
+    own = [c for c in ("doc_id", "k") if c in part.schema.names][:1]
+    yield pa.record_batch([part.column(own[0]), pa.array(counts, pa.int64()), pa.array([x for x, _ in found], pa.list_(pa.int32())), pa.array([x for _, x in found], pa.list_(pa.string()))], [own[0], "n_words", "hits", "items"])
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
