@@ -5,23 +5,27 @@ are near when their probability Jaccard is 0.8 or more; for texts that repeat no
 
 1. Signatures: in one pass each text gets its ProbMinHash registers.  Elements arrive at registers in Poisson
    processes whose rate is the shingle's weight, and a process is ended as soon as it can win no register.
-2. Equal texts become one, by hash, before anything else; from here on there are distinct texts only.
+2. Equal texts become one, by hash, before anything else; from here on there are distinct texts only, by number.
 3. Banding: ``BANDS`` bands of ``ROWS`` registers are bucket keys; texts of 0.8 share none with probability 3e-6.
 4. Pivots: in each bucket the text that meets most others over all its buckets is the pivot, and the others are
    compared with it, never with each other.  In a group of copies of one original the pivot is the original or one
    like it, so one comparison a copy links the group.  Links give components.
 5. The rest: only buckets that still hold several components go on, and in them only texts that can have a link at
-   all: shingles that stand in no other of these texts bound the similarity with every other text from above, and so
-   do, for a pair, the bits that one text's sketch of shingles has and the other's has not.  What the bound leaves (pairs of different components, each in the first band
-   they share) is compared exactly.  So no link within a bucket is lost, and no group is expanded into all pairs.
+   all: shingles that stand in no other of these texts are a share of the text that bounds its similarity with every
+   other text.  A share over 0.2 rules out all links, and two shares over 1/9 each rule out a link of the two, so texts
+   between the bounds meet only texts below.  In each bucket its largest component is the side that others are compared
+   with, so a group of copies is not compared within itself.  What a last bound leaves (for a pair, the bits that one
+   text's sketch has and the other's has not; each pair in the first band it shares) is compared exactly.  So no link
+   within a bucket is lost, and no group of copies is expanded into its pairs.
 6. Components of all links are the classes; the class id is the smallest doc_id.
 
 Hot groups: minima, counts and sums are combined before the shuffle; the joins are equi-joins on bucket, text or id
-that are divided when skewed.
+that are divided when skewed.  Sides are broadcast only after their rows have been counted.
 
 Defined cases: a null text counts as empty; texts without words have no signature and are in a class with equal texts
-only; rows of the same doc_id are in one class; a row without doc_id has no class (null); ties go to the smaller
-doc_id; other columns are not looked at; an empty table gives an empty result.
+only; rows of one doc_id with different texts are in the classes of their texts; a row without doc_id has no class
+(null); ties go to the smaller doc_id; other columns are not looked at (``representatives`` keeps them); an empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -35,13 +39,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import wordscan
-from .common import cut, table
+from .common import cut, drop, fresh, small, table
 from .components import components
 
 SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 24, 4
-BROADCAST_BYTES = 32 << 20
 SKETCH_LONGS = 16
 
 
@@ -156,10 +159,9 @@ def features(docs: DataFrame) -> DataFrame:
     return docs.select("id", "text").mapInArrow(work, f"id {docs.schema['id'].dataType.simpleString()}, h binary, w binary, total double, bits array<bigint>")
 
 
-def linked(pairs: DataFrame, feats: DataFrame, similarity: float, small: bool = False) -> DataFrame:
-    """The pairs (a, b) of at least that probability Jaccard; ``small``: the features' size has been checked for a broadcast."""
-    feats = feats.select("id", "h", "w")
-    side = F.broadcast(feats) if small else feats
+def linked(pairs: DataFrame, feats: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) of at least that probability Jaccard; ``feats``: a row for each id (broadcast if it is marked so)."""
+    side = feats.select("id", "h", "w")
     kind = feats.schema["id"].dataType.simpleString()
     joined = pairs.join(side.toDF("a", "ha", "wa"), "a").join(side.toDF("b", "hb", "wb"), "b")
 
@@ -215,43 +217,86 @@ def _bound(a: Column, b: Column) -> Column:
     return F.when(a["plain"] & b["plain"], common / (a["total"] + b["total"] - common)).otherwise(general)
 
 
-def classes(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """Every row of ``docs`` (doc_id, text) as (doc_id, class_id)."""
-    text = F.coalesce("text", F.lit(""))
-    named = docs.where("doc_id is not null")
-    texts = cut(signatures(named, bands, rows).groupBy("k").agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands")), "texts")
+def text_key(text: Column) -> Column:
+    """The hash that stands for a text; null counts as empty."""
+    return F.unhex(F.md5(F.coalesce(text, F.lit("")).cast("binary")))
+
+
+def _texts(docs: DataFrame, similarity: float, bands: int, rows: int) -> DataFrame:
+    """(k binary, id, component bigint) of the distinct texts of rows with a doc_id; id: the smallest one of each text."""
+    named = docs.where("doc_id is not null").select("doc_id", "text")
+    once = signatures(named, bands, rows).groupBy("k").agg(F.min("doc_id").alias("least"), F.first("bands").alias("bands"))
+    texts = cut(once.withColumn("id", F.monotonically_increasing_id()), "texts")
     keys = texts.select("id", F.explode("bands").alias("key"))
     sizes = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    members = cut(keys.join(sizes, "key"), "members")
-    popular = members.groupBy("id").agg(F.sum("n").alias("popular"))
-    members = cut(members.join(popular, "id").select("key", "id", "popular"), "members")
+    met = cut(keys.join(sizes, "key"), "met")
+    popular = met.groupBy("id").agg(F.sum("n").alias("popular"))
+    members = cut(met.join(popular, "id").select("key", "id", "popular"), "members")
+    drop(met)
     pivots = members.groupBy("key").agg(F.min_by("id", F.struct(-F.col("popular"), F.col("id"))).alias("pivot"))
     pairs = members.join(pivots, "key").where("id <> pivot").select(F.col("id").alias("a"), F.col("pivot").alias("b")).distinct()
-    wanted = popular.select(F.col("id").alias("doc_id")).join(texts.select(F.col("id").alias("doc_id"), "k"), "doc_id")
-    feats = cut(features(named.select("doc_id", text.alias("text"), F.unhex(F.md5(text.cast("binary"))).alias("k")).join(wanted, ["doc_id", "k"]).select(F.col("doc_id").alias("id"), "text")), "features")
+
+    # Features of the texts that meet others: each text is read from one of the rows with its smallest doc_id.
+    wanted = cut(texts.join(members.select("id").distinct(), "id", "left_semi").select(F.col("least").alias("doc_id"), "k", "id"), "wanted")
+    wide = 64 if docs.schema["doc_id"].dataType.simpleString() in ("bigint", "int") else 1 << 10
+    read = named.withColumn("k", text_key(F.col("text"))).join(small(wanted, wide), ["doc_id", "k"]).select("id", "text")
+    feats = cut(features(read).groupBy("id").agg(*(F.first(c).alias(c) for c in ("h", "w", "total", "bits"))), "features")
     links = cut(linked(pairs, feats, similarity), "links")
-    first = components(links)
+    first = cut(components(links), "first")
 
-    # The rest: buckets of several components.
+    # The rest: buckets of several components, the largest of each marked.
     placed = members.join(first, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
-    mixed = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-    placed = cut(placed.join(mixed, "key"), "placed")
-    rest = feats.join(placed.select("id").distinct(), "id", "left_semi")
+    counted = placed.groupBy("key", "component").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("major"), F.count("*").alias("kinds"))
+    placed = cut(placed.join(counted.where("kinds > 1").select("key", "major"), "key"), "placed")
+    rest = cut(feats.join(placed.select("id").distinct(), "id", "left_semi"), "rest")
     judged = rest.select("id", "total", F.col("w").isNull().alias("plain"), "bits").join(_alone(rest), "id", "left").select("id", F.struct("total", F.coalesce("lone", F.lit(0.0)).alias("lone"), "plain", "bits").alias("by"))
-    able = judged.where(F.col("by.lone") <= (1 - similarity + 1e-9) * F.col("by.total"))
-    able = placed.join(able, "id").join(texts.select("id", "bands"), "id")
-    a, b = (able.select("key", *(F.col(c).alias(f"{c}_{s}") for c in ("id", "component", "by", "bands"))) for s in "ab")
+    share = F.col("by.lone") / F.col("by.total")
+    able = judged.where(share <= 1 - similarity + 1e-9).withColumn("apart", share > (1 - similarity) / (1 + similarity) + 1e-9)
+    able = cut(placed.join(able, "id").join(texts.select("id", "bands"), "id"), "able")
+    a, b = (able.select("key", "major", *(F.col(c).alias(f"{c}_{s}") for c in ("id", "component", "by", "bands", "apart"))) for s in "ab")
     first_shared = F.element_at(F.filter(F.zip_with("bands_a", "bands_b", lambda x, y: F.when(x == y, x)), lambda x: x.isNotNull()), 1) == F.col("key")
-    more = a.join(b, "key").where((F.col("id_a") < F.col("id_b")) & (F.col("component_a") != F.col("component_b")) & (_bound(F.col("by_a"), F.col("by_b")) >= similarity - 1e-9) & first_shared)
-    more = cut(more.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")), "more")
+    bounded_pair = (_bound(F.col("by_a"), F.col("by_b")) >= similarity - 1e-9) & first_shared
+
+    def met_by(a: DataFrame, b: DataFrame, once: Column) -> DataFrame:
+        return a.join(b.drop("major"), "key").where(once & (F.col("component_a") != F.col("component_b")) & bounded_pair).select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
+
+    minor_a, is_major_b = a.where("component_a <> major"), F.col("component_b") == F.col("major")
+    low, high = minor_a.where("not apart_a"), minor_a.where("apart_a")
+    # minor texts below the lower bound meet all others; those above it meet the texts below it in the major component only
+    # (their pairs with minor texts below it are among the first)
+    more = met_by(low, b, is_major_b | F.col("apart_b") | (F.col("id_a") < F.col("id_b"))).unionByName(met_by(high, b.where("not apart_b"), is_major_b))
+    more = cut(more.distinct(), "more")
+    drop(placed), drop(able), drop(rest)
     ids = more.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     few = cut(feats.select("id", "h", "w").join(ids, "id", "left_semi"), "few")
-    size = few.agg(F.coalesce(F.sum(F.octet_length("h") + F.coalesce(F.octet_length("w"), F.lit(0))), F.lit(0))).first()[0]
-    links = links.unionByName(cut(linked(more, few, similarity, size <= BROADCAST_BYTES), "links"))
-    final = components(links)
-    named_classes = texts.select("k", "id").join(final, "id", "left").select("k", F.coalesce("component", "id").alias("class_id"))
-    keyed = docs.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.unhex(F.md5(text.cast("binary")))).alias("k"))
-    return keyed.join(named_classes, "k", "left").select("doc_id", "class_id")
+    held = few.agg(F.coalesce(F.sum(F.octet_length("h") + F.coalesce(F.octet_length("w"), F.lit(0)) + 64), F.lit(0))).first()[0]
+    every = cut(links.unionByName(linked(more, F.broadcast(few) if held <= 32 << 20 else few, similarity)), "links")
+    drop(feats), drop(members), drop(wanted), drop(first)
+    return texts.join(components(every), "id", "left").select("k", F.col("least").alias("id"), F.coalesce("component", "id").alias("component"))
+
+
+def classes(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """Every row of ``docs`` (doc_id, text) as (doc_id, class_id)."""
+    texts = cut(_texts(docs, similarity, bands, rows), "classes")
+    least = texts.groupBy("component").agg(F.min("id").alias("class_id"))
+    named = texts.join(least, "component").select("k", "class_id")
+    keyed = docs.select("doc_id", F.when(F.col("doc_id").isNotNull(), text_key(F.col("text"))).alias("k"))
+    return keyed.join(named, "k", "left").select("doc_id", "class_id")
+
+
+def representatives(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """The rows of ``docs`` (doc_id, text and any others) that stay when one row of each class is kept.
+
+    It is the row of smallest doc_id, and of texts with the same doc_id the one of smallest hash; of rows that have both
+    in common, the least by all columns.  Rows without doc_id are in no class and all stay.
+    """
+    texts = cut(_texts(docs, similarity, bands, rows), "classes")
+    k, own = fresh(docs, "k", "own")
+    best = texts.groupBy("component").agg(F.min(F.struct("id", "k")).alias("best")).select(F.col("best.id").alias(own), F.col("best.k").alias(k))
+    named = docs.where("doc_id is not null").withColumn(k, text_key(F.col("text")))
+    chosen = named.join(best, (F.col("doc_id") == F.col(own)) & (named[k] == best[k])).select(best[k], F.struct(*docs.columns).alias(own))
+    kept = chosen.groupBy(k).agg(F.min(own).alias(own)).select(*(F.col(own)[c].alias(c) for c in docs.columns))
+    return kept.unionByName(docs.where("doc_id is null"))
 
 
 def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
