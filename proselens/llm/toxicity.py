@@ -49,6 +49,11 @@ class Model:
     index: np.ndarray = field(repr=False)
     weight: np.ndarray = field(repr=False)
 
+    def dense(self) -> np.ndarray:
+        out = np.zeros(1 << self.bits)
+        out[self.index] = self.weight
+        return out
+
 
 def coordinates(words: wordscan.Words, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """(text number, coordinate) of all words, word pairs and skip pairs, with repetitions."""
@@ -124,6 +129,15 @@ def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -
     return Model(s.bits, float(w[0]) if len(w) else 0.0, at[1:].astype(np.int64), w[1:])
 
 
+def scores(texts: pa.Array, model: Model, dense: np.ndarray) -> np.ndarray:
+    """The scores of some whole texts; ``dense``: the model's weights by coordinate."""
+    text, at = coordinates(wordscan.scan(texts), model.bits)
+    hit = dense[at] != 0
+    pairs = np.unique(text[hit] << model.bits | at[hit])
+    total = np.bincount(pairs >> model.bits, weights=dense[pairs & ((1 << model.bits) - 1)], minlength=len(texts))
+    return 1 / (1 + np.exp(-np.clip(total + model.intercept, -35, 35)))
+
+
 def score(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataFrame:
     """Every row of ``docs`` as (the columns ``keep``, by default all; score double); one pass over the whole texts.
 
@@ -132,21 +146,27 @@ def score(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataF
     names = [c for c in keep or docs.columns if c != "score"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        dense = np.zeros(1 << model.bits)
-        dense[model.index] = model.weight
+        dense = model.dense()
         for batch in batches:
             for part in wordscan.slices(batch, "text"):
-                text, at = coordinates(wordscan.scan(part.column("text")), model.bits)
-                hit = dense[at] != 0
-                pairs = np.unique(text[hit] << model.bits | at[hit])
-                total = np.bincount(pairs >> model.bits, weights=dense[pairs & ((1 << model.bits) - 1)], minlength=part.num_rows)
-                p = 1 / (1 + np.exp(-np.clip(total + model.intercept, -35, 35)))
-                yield pa.record_batch([*(part.column(c) for c in names), pa.array(p, pa.float64())], [*names, "score"])
+                yield pa.record_batch([*(part.column(c) for c in names), pa.array(scores(part.column("text"), model, dense), pa.float64())], [*names, "score"])
 
     schema = T.StructType([*(docs.schema[c] for c in names), T.StructField("score", T.DoubleType())])
     return docs.select(*dict.fromkeys([*names, "text"])).mapInArrow(run, schema)
 
 
+def clean(docs: DataFrame, model: Model, most: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` (text and any other columns, score among them) that are scored under ``most``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        dense = model.dense()
+        for batch in batches:
+            for part in wordscan.slices(batch, "text"):
+                yield part.take(pa.array(np.flatnonzero(scores(part.column("text"), model, dense) < most)))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def held_out(doc_id: str = "doc_id") -> F.Column:
     """True for the fifth of ids that is never learnt from."""
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % 5 == 0
