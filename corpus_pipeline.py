@@ -12,15 +12,14 @@ from pyspark.sql import functions as F
 
 from proselens.llm import decontamination, line_dedup, near_dedup, pieces
 from proselens.llm import toxicity as toxic
-from proselens.llm.common import bounded, cut, table
+from proselens.llm.common import bounded, cut, drop, table
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are scored under 0.5; the model learns from the labelled ones among those not held out."""
     labels = table(spark, sf_dir, "labels").select("doc_id", "toxic").where(~toxic.held_out())
     model = toxic.train(docs.where(~toxic.held_out()), labels)
-    kept = toxic.score(docs.withColumnRenamed("score", "_score") if "score" in docs.columns else docs, model).where("score < 0.5").drop("score")
-    return kept.withColumnRenamed("_score", "score").select(*docs.columns)
+    return toxic.clean(docs, model)
 
 
 def line_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,11 +30,9 @@ def line_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def near_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest doc_id of each class of near copies, once; documents without doc_id stay."""
+    """One row of each class of near copies (the one of smallest doc_id); rows without doc_id stay, all of them."""
     bounded(spark)
-    copies = near_dedup.classes(docs).where("doc_id <> class_id").select("doc_id").distinct()
-    one = F.when(F.col("doc_id").isNull(), F.md5(F.coalesce("text", F.lit("")).cast("binary")))
-    return docs.join(cut(copies, "copies"), "doc_id", "left_anti").withColumn("_one", one).dropDuplicates(["doc_id", "_one"]).select(*docs.columns)
+    return near_dedup.representatives(docs).select(*docs.columns)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -65,5 +62,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages applied to ``documents``, each written and read again."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = cut(stage(spark, docs, sf_dir), name)
+        before, docs = docs, cut(stage(spark, docs, sf_dir), name)
+        drop(before)
     return docs
