@@ -2,8 +2,9 @@
 
 A line is a run of text between line feeds, and its content is its words (split at blanks, tabs and the like).  Two
 lines are near when their word edit distance is at most one (a word replaced, added or removed) and both have
-``min_words`` or more; shorter lines must be equal.  A line goes if an earlier line equals it or is near to it;
-"earlier" is by document id, then by line number, and also a line that goes itself counts.  Lines without words stay.
+``min_words`` or more; shorter lines must be equal (by default 8, as "Part 1" and "Part 2" are no copies; any other
+number may be asked for).  A line goes if an earlier line equals it or is near to it; "earlier" is by document id, then
+by line number, and also a line that goes itself counts.  Lines without words stay.
 
 1. Equal lines: occurrences are counted into distinct lines by two 64-bit hashes, each with its earliest place.
 2. Coarse keys: a line is thought of as four blocks of words, counted from its start and from its end.  One edit stands
@@ -17,13 +18,15 @@ lines are near when their word edit distance is at most one (a word replaced, ad
 4. Verification: of each link, the words of both lines before the place and after it are compared.
 5. What remains of each document is put together again.
 
-No step takes all rows of one key: counts and minima are aggregated before the shuffle, and the joins are plain
-sort-merge joins that are divided when skewed.  Texts are shuffled at most twice.
+No step takes all rows of one key: counts and minima are aggregated before the shuffle, the most common lines (those
+that make up more than a ``HOT``-th of all, so at most that many) are judged by a broadcast, and the joins are plain
+equi-joins that are divided when skewed.  Texts are shuffled at most twice.
 
 Defined cases: a null text counts as empty and stays null; an empty text stays; a document of which every line goes
-is returned with an empty text (``deduplicated`` tells it by n_kept = 0 and n_removed > 0); rows that are equal in id
-and text are treated alike, and lines at the same place of rows of one id are equally early; very long lines are compared whole; other columns are kept; an empty table gives an empty
-result.
+is returned with an empty text (``deduplicated`` tells it by n_kept = 0 and n_removed > 0, ``clean`` leaves it out);
+rows that are equal in id and text are treated alike, and lines at the same place of rows of one id are equally early;
+rows without id are before all others, in the order of a hash of their texts; very long lines are compared whole; other
+columns are kept (``deduplicated`` replaces those that are named as its counts); an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -31,7 +34,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import cut, drop, fresh, table
 
 MIN_WORDS = 8
 BLOCK = 32
@@ -40,6 +43,7 @@ _SPACE = " \t\r\x0b\x0c"
 _UNEVEN = f"[{_SPACE[1:]}]|  | \n|\n |\\A | \\z"
 _PLACE = "decimal(38,0)"
 _LINES = 10**10
+HOT = 20_000
 
 
 def _even(text: Column) -> Column:
@@ -74,9 +78,10 @@ def _block(n: Column) -> Column:
     return F.floor(n / STEP).cast("int") * 2
 
 
-def _order(doc_id: Column, line_no: Column) -> Column:
-    """Where a line stands among all, as one number; a null id is before all others."""
-    return (F.coalesce(doc_id.cast("decimal(19,0)"), F.lit(-(2**63)).cast("decimal(19,0)")) * F.lit(_LINES).cast("decimal(11,0)") + line_no).cast(_PLACE)
+def _order(doc_id: Column, t: Column, line_no: Column) -> Column:
+    """Where a line stands among all, as one number; rows without id are before all others, by the hash of the text."""
+    none = F.lit(-(2**63)).cast("decimal(20,0)") - 1 - F.pmod(t, F.lit(2**62)).cast("decimal(19,0)")
+    return (F.coalesce(doc_id.cast("decimal(20,0)"), none) * F.lit(_LINES).cast("decimal(11,0)") + line_no).cast(_PLACE)
 
 
 def _occurrences(docs: DataFrame) -> DataFrame:
@@ -116,30 +121,37 @@ def _variants(w: Column, n: Column, first: Column, last: Column) -> Column:
     return F.flatten(F.transform(F.array(F.struct(heads.alias("heads"), tails.alias("tails"))), keyed))
 
 
-def _near(docs: DataFrame, distinct: DataFrame) -> DataFrame:
+def _near(docs: DataFrame, distinct: DataFrame, min_words: int) -> DataFrame:
     """(h, g, links): distinct lines that have an earlier line within one edit, and to how many of them they are linked."""
     n = F.col("n")
     opened = []
     for i in range(8):
         b = _block(n if i < 4 else n - 1)
         opened.append(F.struct(F.col(f"k{i}").alias("key"), (b * (i % 4)).alias("low"), (n - b * (3 - i % 4)).alias("high")))
-    long = distinct.where(F.col("k0").isNotNull())
+    long = distinct.where(n >= max(min_words, MIN_WORDS))
     keys = long.select("h", F.explode(F.when(F.col("k4").isNull(), F.array(*opened[:4])).otherwise(F.array(*opened))).alias("o")).select("h", "o.*")
     shared = keys.groupBy("key").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).where("lo <> hi").select("key")
-    hit = keys.join(shared.hint("shuffle_hash"), "key").groupBy("h").agg(F.min("low").alias("low"), F.max("high").alias("high")).join(long.select("h", "g", "place"), "h")
+    spans = keys.join(shared.hint("shuffle_hash"), "key").select("h", "low", "high")
+    if min_words < MIN_WORDS:  # lines too short for coarse keys are open throughout
+        short = distinct.where((n >= min_words) & (n <= MIN_WORDS))
+        spans, long = spans.unionByName(short.select("h", F.lit(0).alias("low"), n.alias("high"))), distinct.where(n >= min_words)
+    hit = spans.groupBy("h").agg(F.min("low").alias("low"), F.max("high").alias("high")).join(long.select("h", "g", "place"), "h")
     doc = F.floor(F.col("place") / F.lit(_LINES).cast("decimal(11,0)")).cast(_PLACE)
     hit = hit.withColumn("c_doc", doc).withColumn("line_no", (F.col("place") - doc * _LINES).cast("int"))
     wanted = hit.groupBy("c_doc").agg(F.collect_list(F.struct("line_no", "h", "g", "place", "low", "high")).alias("wanted"))
-    texts = docs.select("text", F.floor(_order(F.col("doc_id"), F.lit(0)) / F.lit(_LINES).cast("decimal(11,0)")).cast(_PLACE).alias("c_doc"))
+    texts = docs.select("text", F.floor(_order(F.col("doc_id"), F.xxhash64("text"), F.lit(0)) / F.lit(_LINES).cast("decimal(11,0)")).cast(_PLACE).alias("c_doc"))
 
     def picked(lines: Column) -> Column:  # the text is split once, not once for each line that is wanted
         return F.transform("wanted", lambda x: F.struct(*(x[c].alias(c) for c in ("h", "g", "place", "low", "high")), F.get(lines, x["line_no"]).alias("bare")))
 
     found = texts.join(wanted, "c_doc").select(F.inline(F.flatten(F.transform(F.array(F.split(_even(F.col("text")), "\n")), picked)))).where(F.xxhash64("bare") == F.col("h"))
-    lines = cut(found.select("h", "g", "place", "low", "high", F.split("bare", " ").alias("w")), "lines")
+    once = found.dropDuplicates(["h", "g"])  # rows that repeat id and text give each line as often
+    lines = cut(once.select("h", "g", "place", "low", "high", F.split("bare", " ").alias("w")), "lines")
     variants = cut(lines.select("h", "g", F.inline(_variants(F.col("w"), F.size("w"), F.col("low"), F.col("high")))), "variants")
     several = variants.groupBy("key").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).where("lo <> hi").select("key")
-    members = cut(variants.join(several.hint("shuffle_hash"), "key"), "members").join(lines.select("h", "g", F.col("place").alias("at")), ["h", "g"])
+    met = cut(variants.join(several.hint("shuffle_hash"), "key"), "members")
+    drop(variants)
+    members = met.join(lines.select("h", "g", F.col("place").alias("at")), ["h", "g"])
     earliest = members.groupBy("key").agg(F.min(F.struct("at", "h", "g", "gone")).alias("e"))
     links = members.join(earliest, "key").where("e.h <> h").select("h", "g", F.col("e.h").alias("eh"), F.col("e.g").alias("eg"), "place", "gone", F.col("e.gone").alias("e_gone")).dropDuplicates(["h", "g", "eh", "eg"])
     mine, other = lines.select("h", "g", "w"), lines.select(F.col("h").alias("eh"), F.col("g").alias("eg"), F.col("w").alias("ew"))
@@ -149,42 +161,56 @@ def _near(docs: DataFrame, distinct: DataFrame) -> DataFrame:
 
     same = (F.slice("w", 1, F.col("place")) == F.slice("ew", 1, F.col("place"))) & (rest(F.col("w"), F.col("gone")) == rest(F.col("ew"), F.col("e_gone")))
     verified = links.join(mine, ["h", "g"]).join(other, ["eh", "eg"]).where(same)
-    return cut(verified.groupBy("h", "g").agg(F.countDistinct("eh", "eg").alias("links")), "links")
+    out = cut(verified.groupBy("h", "g").agg(F.countDistinct("eh", "eg").alias("links")), "links")
+    drop(met), drop(lines)
+    return out
 
 
-def deduplicated(docs: DataFrame) -> DataFrame:
-    """Every row of ``docs`` with its text less the lines that go, and n_lines, n_kept, n_removed, n_near, n_links.
-
-    n_lines counts lines with words, n_near those removed as near to an earlier line only, n_links their links.
-    """
+def _counted(docs: DataFrame, min_words: int) -> tuple[DataFrame, list[str]]:
+    """Every row of ``docs`` with its text less the lines that go, and counts in columns of the names returned."""
     filled = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     every = cut(_with_keys(_occurrences(filled)).select("doc_id", "t", "line_no", "h", "g", "n", *(f"k{i}" for i in range(8))), "occurrences")
-    placed = every.withColumn("place", _order(F.col("doc_id"), F.col("line_no"))).drop("doc_id", "t", "line_no")
-    distinct = cut(placed.groupBy("h", "g").agg(F.min("place").alias("place"), *(F.max(c).alias(c) for c in ("n", *(f"k{i}" for i in range(8))))), "distinct")
-    near = _near(filled, distinct)
-    judged = distinct.select("h", "g", F.col("place").alias("first")).join(near, ["h", "g"], "left")
-    again = _order(F.col("doc_id"), F.col("line_no")) != F.col("first")
-    gone = (
-        every.select("doc_id", "t", "line_no", "h", "g")
-        .join(judged, ["h", "g"])
-        .where(F.col("links").isNotNull() | again)
-        .groupBy(F.col("doc_id").alias("g_id"), F.col("t").alias("g_t"))
-        .agg(F.collect_set("line_no").alias("gone"), F.count_if(F.col("links").isNotNull() & ~again).alias("n_near"), F.sum(F.when(~again, F.col("links")).otherwise(0)).alias("n_links"))
-    )
-    made = ["n_lines", "n_kept", "n_removed", "n_near", "n_links"]
-    names = [c for c in docs.columns if c not in made]
-    rows = docs.select(*names, F.xxhash64(F.coalesce("text", F.lit(""))).alias("_t")).join(gone, (F.col("_t") == F.col("g_t")) & F.col("doc_id").eqNullSafe(F.col("g_id")), "left")
-    lines = F.split("text", "\n")
-    kept = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("gone", i)), "\n"))
-    n_lines = F.regexp_count("text", F.lit(f"(?<![^\\n])[{_SPACE}]*[^{_SPACE}\\n]")).cast("long")
-    n_gone = F.coalesce(F.size("gone"), F.lit(0)).cast("long")
-    n_lines = F.when(F.col("text").isNull(), F.lit(0).cast("long")).otherwise(n_lines)
-    n_gone = F.when(F.col("gone").isNull(), F.lit(0).cast("long")).otherwise(n_gone)
-    return rows.select(
-        *(kept.alias("text") if c == "text" else c for c in names),
-        n_lines.alias("n_lines"), (n_lines - n_gone).alias("n_kept"), n_gone.alias("n_removed"),
-        F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
+    placed = every.withColumn("place", _order(F.col("doc_id"), F.col("t"), F.col("line_no"))).drop("doc_id", "t", "line_no")
+    distinct = cut(placed.groupBy("h", "g").agg(F.min("place").alias("place"), F.count("*").alias("times"), *(F.max(c).alias(c) for c in ("n", *(f"k{i}" for i in range(8))))), "distinct")
+    near = _near(filled, distinct, min_words)
+    judged = distinct.select("h", "g", F.col("place").alias("first"), "times").join(near, ["h", "g"], "left").where("links is not null or times > 1")
+    judged = cut(judged, "judged")
+    drop(distinct)
+    common = F.col("times") > max(1, every.count() // HOT)
+    hot = F.broadcast(judged.where(common).drop("times"))
+    found = every.select("doc_id", "t", "line_no", "h", "g")
+    met = found.join(hot, ["h", "g"]).unionByName(found.join(hot, ["h", "g"], "left_anti").join(judged.where(~common).drop("times"), ["h", "g"]))
+    again = _order(F.col("doc_id"), F.col("t"), F.col("line_no")) != F.col("first")
+    text_hash, g_id, g_t, gone, n_lines, n_kept, n_removed, n_near, n_links = fresh(docs, "t", "g_id", "g_t", "gone", "lines", "kept", "removed", "near", "links")
+    lost = (
+        met.where(F.col("links").isNotNull() | again)
+        .groupBy(F.col("doc_id").alias(g_id), F.col("t").alias(g_t))
+        .agg(F.collect_set("line_no").alias(gone), F.count_if(F.col("links").isNotNull() & ~again).alias(n_near), F.sum(F.when(~again, F.col("links")).otherwise(0)).alias(n_links))
     )
+    rows = docs.withColumn(text_hash, F.xxhash64(F.coalesce("text", F.lit("")))).join(lost, (F.col(text_hash) == F.col(g_t)) & F.col("doc_id").eqNullSafe(F.col(g_id)), "left")
+    kept = F.when(F.col(gone).isNull(), F.col("text")).otherwise(F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains(gone, i)), "\n"))
+    lines = F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.regexp_count("text", F.lit(f"(?<![^\\n])[{_SPACE}]*[^{_SPACE}\\n]"))).cast("long")
+    removed = F.when(F.col(gone).isNull(), F.lit(0)).otherwise(F.size(gone)).cast("long")
+    made = [n_lines, n_kept, n_removed, n_near, n_links]
+    counts = [lines, lines - removed, removed, F.coalesce(n_near, F.lit(0)).cast("long"), F.coalesce(n_links, F.lit(0)).cast("long")]
+    return rows.select(*(kept.alias("text") if c == "text" else F.col(c) for c in docs.columns), *(x.alias(c) for x, c in zip(counts, made, strict=True))), made
+
+
+def deduplicated(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """Every row of ``docs`` with its text less the lines that go, and n_lines, n_kept, n_removed, n_near, n_links.
+
+    n_lines counts lines with words, n_near those removed as near to an earlier line only, n_links the lines that these
+    are linked to: of all lines that share a variant, the earliest.
+    """
+    found, made = _counted(docs, min_words)
+    names = ["n_lines", "n_kept", "n_removed", "n_near", "n_links"]
+    return found.select(*(c for c in docs.columns if c not in names), *(F.col(m).alias(c) for m, c in zip(made, names, strict=True)))
+
+
+def clean(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """The rows of ``docs``, all columns, with their texts less the lines that go; a row of which every line went is left out."""
+    found, (_, kept, removed, _, _) = _counted(docs, min_words)
+    return found.where(~((F.col(kept) == 0) & (F.col(removed) > 0))).select(*docs.columns)
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
