@@ -113,6 +113,18 @@ def test_near_dedup(spark, odd, empty):
     assert near_dedup.classes(empty).count() == 0
 
 
+def test_representatives(spark, odd, empty):
+    texts = [story(1, 60), story(2, 60), story(3, 60), ""]
+    rows = [(1, texts[0], 0.5, 1, "a"), (1, texts[1], 0.5, 1, "a"), (2, texts[0] + " x", 0.5, 1, "a"), (3, texts[2], 0.5, 1, "b"), (3, texts[2], 0.5, 1, "a"), (None, texts[0], 0.5, 1, "a"), (None, texts[0], 0.5, 1, "a"), (4, None, 0.5, 1, "a"), (5, "", 0.5, 1, "a"), (0, texts[1], 0.5, 1, "a")]
+    docs = spark.createDataFrame(rows, SCHEMA).withColumn("k", F.lit("clash")).withColumn("own", F.lit(3))
+    kept = near_dedup.representatives(docs)
+    assert kept.columns == docs.columns
+    assert sorted(((r.doc_id, r.text, r.h) for r in kept.collect()), key=repr) == sorted([(1, texts[0], "a"), (3, texts[2], "a"), (None, texts[0], "a"), (None, texts[0], "a"), (4, None, "a"), (0, texts[1], "a")], key=repr)
+    assert near_dedup.representatives(empty).count() == 0
+    one = {r.doc_id: r.class_id for r in near_dedup.classes(docs.where("doc_id in (0, 2, 3)")).collect()}
+    assert one == {0: 0, 2: 2, 3: 3}
+
+
 def test_sharding(spark, odd, empty):
     found = sharding.shard(odd, 4, cell_groups=3, chunk_rows=2).collect()
     assert len(found) == odd.count()
@@ -129,18 +141,43 @@ def test_sharding(spark, odd, empty):
     assert sharding.shard(empty).count() == 0
 
 
-def test_decontamination(spark, odd, empty):
-    bench = spark.createDataFrame([(1, story(1, 120)), (2, "CC by"), (3, None), (4, "..."), (None, "one"), (2, "cc by")], "item_id long, text string")
-    for part in (1 << 20, 10):
-        found = {r.doc_id: r for r in decontamination.find(odd, bench, part_bytes=part).collect() if r.doc_id is not None}
-        assert found[0].items == ["1"] and len(found[0].hits) == 120 and found[7].items == ["2"] and sorted(found[7].hits) == [3, 4, 5, 6]
-        assert not found[3].hits and not found[6].hits and len(found[2].hits) == 119
-    assert decontamination.find(empty, bench).count() == 0 and decontamination.find(odd, bench.limit(0)).where("size(hits) > 0").count() == 0
-    assert decontamination.clean(odd, bench).columns == odd.columns
+def brute_decontamination(docs, items, size=10):
+    patterns = {}
+    for item, text in items:
+        w = words(text)
+        for a in range(max(len(w) - size, 0) + 1 if w and item is not None else 0):
+            patterns.setdefault(tuple(w[a : a + size]), set()).add(str(item))
+    out = []
+    for doc_id, text in docs:
+        w, hit, found = words(text), set(), set()
+        for a in range(len(w)):
+            for m in {len(p) for p in patterns}:
+                if a + m <= len(w) and tuple(w[a : a + m]) in patterns:
+                    hit.update(range(a, a + m))
+                    found |= patterns[tuple(w[a : a + m])]
+        out.append((doc_id, len(w), sorted(hit), sorted(found)))
+    return sorted(out, key=repr)
 
 
-def near_lines(a, b):
-    if min(len(a), len(b)) < line_dedup.MIN_WORDS or abs(len(a) - len(b)) > 1:
+def test_decontamination(spark, odd, empty):
+    items = [(1, story(1, 120)), (2, "CC by"), (3, None), (4, "..."), (None, "one"), (2, "cc by"), (5, "alpha beta gamma"), (6, "red green blue")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    more = [(70, "alpha beta gamma"), (70, "red green blue"), (None, "alpha beta gamma"), (None, "red green blue"), (None, "red green blue"), (71, "red x green"), (71, "alpha beta gamma and red green blue")]
+    docs = odd.unionByName(spark.createDataFrame([(i, t, 0.5, 7, "clash") for i, t in more], SCHEMA)).where("text is null or length(text) < 100000")
+    few = [x for x in items if x[0] != 1]
+    for part, items in ((1 << 20, items), (3000, items), (10, few)):
+        bench = spark.createDataFrame(items, "item_id long, text string")
+        want = brute_decontamination([(r.doc_id, r.text) for r in docs.collect()], items)
+        found = [(r.doc_id, r.n_words, r.hits, sorted(r.items)) for r in decontamination.find(docs, bench, part_bytes=part).collect()]
+        assert sorted(found, key=repr) == want
+        left = decontamination.clean(docs, bench, part_bytes=part)
+        assert left.columns == docs.columns and sorted(((r.doc_id, len(words(r.text))) for r in left.collect()), key=repr) == sorted(((i, n) for i, n, hit, _ in want if not hit), key=repr)
+        assert decontamination.find(empty, bench, part_bytes=part).count() == 0 and decontamination.clean(empty, bench, part_bytes=part).count() == 0
+    assert decontamination.find(odd, bench.limit(0)).where("size(hits) > 0").count() == 0
+
+
+def near_lines(a, b, least):
+    if min(len(a), len(b)) < least or abs(len(a) - len(b)) > 1:
         return False
     if len(a) == len(b):
         return sum(x != y for x, y in zip(a, b)) <= 1
@@ -162,17 +199,25 @@ def test_line_dedup(spark, odd, empty):
                 w = w or ["x"]
             lines.append(rng.choice(["", " "]) + rng.choice([" ", "  "]).join(w))
         texts.append("\n".join(lines))
-    kept, seen = [], []
-    for t in texts:
-        out = []
-        for line in t.split("\n"):
-            w = line.split()
-            if not any(w == s or near_lines(w, s) for s in seen):
-                out.append(line)
-            seen.append(w)
-        kept.append("\n".join(out))
-    got = {r.doc_id: r.text for r in line_dedup.deduplicated(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
-    assert got == dict(enumerate(kept))
+    texts += ["\n".join(["a b c", "a b d", "a b", "x", "a b c d e f g", "a b c d e f g h", "a X c d e f g"]), "common line of words that stands in all texts"] * 2
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for least in (line_dedup.MIN_WORDS, 2):
+        kept, seen = [], []
+        for t in texts:
+            out = []
+            for line in t.split("\n"):
+                w = line.split()
+                if not any(w == s or near_lines(w, s, least) for s in seen):
+                    out.append(line)
+                seen.append(w)
+            kept.append("\n".join(out))
+        got = {r.doc_id: r.text for r in line_dedup.deduplicated(docs, least).collect()}
+        assert got == dict(enumerate(kept))
+    clash = docs.where("doc_id < 3").select("*", *(F.lit("mine").alias(c) for c in ("gone", "g_id", "_t", "t", "n_lines", "links")))
+    assert {r.gone for r in line_dedup.deduplicated(clash).collect()} == {"mine"} and {r.n_lines for r in line_dedup.clean(clash).collect()} == {"mine"}
+    nobody = spark.createDataFrame([(None, "one line of words\ntwo line of words"), (None, "two line of words"), (None, "two line of words"), (1, "two line of words\nthree")], "doc_id long, text string")
+    left = [r.text for r in line_dedup.deduplicated(nobody).collect()]
+    assert sorted(left) in (sorted(["one line of words", "two line of words", "two line of words", "three"]), sorted(["one line of words\ntwo line of words", "", "", "three"]))
     found = line_dedup.deduplicated(odd)
     assert set(odd.columns) <= set(found.columns)
     by_id = {r.doc_id: r for r in found.collect() if r.doc_id is not None}
@@ -237,6 +282,79 @@ def test_html(spark):
     assert html_text.extracted(same).first().text.endswith("Second 0") or "Same on all pages" not in html_text.extracted(same).first().text
 
 
+def brute_matching(a, b):
+    """The most nodes that any order-keeping alignment of two trees matches, over all alignments."""
+    if a[0] != b[0]:
+        return 0
+
+    def best(x, y):
+        if not x or not y:
+            return 0
+        return max(best(x[1:], y), best(x, y[1:]), brute_matching(x[0], y[0]) + best(x[1:], y[1:]))
+
+    return 1 + best(a[html_text.BELOW], b[html_text.BELOW])
+
+
+def test_tree_matching():
+    rng = random.Random(1)
+
+    def grown(depth):
+        return [rng.choice("abc"), 1, 0, 0, 0, 0, 1, 1, [grown(depth - 1) for _ in range(rng.randint(0, 4))] if depth else []]
+
+    for _ in range(400):
+        a, b = grown(3), grown(3)
+        a[0] = b[0] = "r"
+        assert html_text.matching(a, b) == brute_matching(a, b)
+        both = html_text.merged(a, b)
+        count = lambda t: 1 + sum(map(count, t[html_text.BELOW]))
+        assert count(both) == count(a) + count(b) - brute_matching(a, b) or count(both) >= max(count(a), count(b))
+
+
+def wrapped(sources):
+    """The texts of pages of one host, with and without the lists of tags and names."""
+    whole = html_text.Wrapper()
+    for source in sources:
+        whole.add(html_text.tree(html_text.Page(source)))
+    found = html_text.wrapper_of(whole.tree)
+    return [html_text.Page(s).text(found) for s in sources], [html_text.Page(s).text(found, lists=False) for s in sources]
+
+
+def test_wrappers():
+    def page(i, main):
+        menu = "".join(f"<li><a href=x>{story(100 * i + k, 1)}</a></li>" for k in range(5))
+        return f'<html><body class="page-{i} x{i}"><div class="top"><ul>{menu}</ul></div><div class="box one">{story(500 + i, 4)}</div>{main}<div class="end">{story(900 + i, 5)} c</div></body></html>'
+
+    def paragraphs(i):
+        return "".join(f"<p>{story(1000 * i + k, 20)}</p>" for k in range(2 + i % 4))
+
+    def said(i):
+        return "\n".join(story(1000 * i + k, 20) for k in range(2 + i % 4))
+
+    for main, want in (
+        (lambda i: f'<div class="c" id="post-{i}"><h1>Head {i}</h1>{paragraphs(i)}</div>', lambda i: f"Head {i}\n{said(i)}"),  # no tag, name or constant text helps
+        (lambda i: f"<main><header><h2>Head {i}</h2></header><article>{paragraphs(i)}</article></main>", lambda i: f"Head {i}\n{said(i)}"),
+        (lambda i: f"<article>{paragraphs(i)}</article><article><p>Second {i}</p></article>", lambda i: f"{said(i)}\nSecond {i}"),
+        (lambda i: f"<article><div class='social history'>Rome {i}</div>{paragraphs(i)}<p class=legal>Same on all</p></article>", lambda i: f"Rome {i}\n{said(i)}"),
+    ):
+        both = wrapped([page(i, main(i)) for i in range(8)])
+        for texts in both:
+            assert texts == [want(i) for i in range(8)]
+    few = [html_text.Page(page(i, f"<article>{paragraphs(i)}</article><article>B{i}</article>")).text(None) for i in range(2)]
+    assert few == [f"{said(i)}\nB{i}" for i in range(2)]
+    assert html_text.Page('<div class="content">A</div><div class="content">B</div><nav>C</nav>').text(None) == "A\nB"
+    assert html_text.Page("").text(None) == "" and html_text.wrapper_of(html_text.tree(html_text.Page(""))) is None
+
+
+def test_html_time():
+    import time
+
+    for source in ("<a" * 100_000, "<div>" * 20_000 + "deep", "<![CDATA[" * 50_000, "<!" * 50_000, '<a ="' * 50_000, "<p><button>" + "<div>" * 20_000, "<a x='" + "<b>" * 50_000, "".join(f"<div class=c{'x' * (k % 300)}>" "</div>" for k in range(5000))):
+        began = time.time()
+        page = html_text.Page(source)
+        page.text(html_text.wrapper_of(html_text.merged(html_text.tree(page), html_text.tree(page))))
+        assert time.time() - began < 3
+
+
 def test_repeats(spark, odd, empty):
     rows = [(r.doc_id, r.text) for r in odd.collect() if len(r.text or "") < 100_000]
     data = [(t or "").encode() for _, t in rows]
@@ -269,6 +387,29 @@ def test_licenses(spark, odd, empty):
     assert {x.label for x in licenses.scan(text).first().found} == {"lgpl"}
 
 
+STAGE_SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, gone array<int>, k string, _one string, n_lines long"
+
+
+def test_pipeline_stages(spark):
+    import corpus_pipeline
+
+    sf = "/root/testdata/sf0.001"
+    base, other = story(11, 80), story(12, 80)
+    rows = [(1, base), (1, other), (1, base), (2, base + " x"), (None, base), (None, base), (3, None), (4, ""), (5, ""), (6, "solo"), (7, story(13, 30_000)), (8, base + "\n" + other)]
+    docs = spark.createDataFrame([(i, t, None, "s", len(t or ""), 0.3, [1], "k", "o", 5) for i, t in rows], STAGE_SCHEMA)
+    for name, stage in corpus_pipeline.STAGES:
+        for given in (docs, docs.limit(0)):
+            out = stage(spark, given, sf)
+            found = out.collect()
+            assert len(found) <= given.count()
+            if name != "pieces":
+                assert out.columns == docs.columns
+                assert all((r.score, r.gone, r.k, r._one, r.n_lines) == (0.3, [1], "k", "o", 5) for r in found)
+    near = corpus_pipeline.near_deduplication(spark, docs, sf).collect()
+    assert sorted((r.doc_id, (r.text or "")[:5]) for r in near if r.doc_id is not None) == sorted([(1, base[:5]), (1, other[:5]), (3, ""), (6, "solo"), (7, rows[10][1][:5]), (8, base[:5])])
+    assert sum(r.doc_id is None for r in near) == 2
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
