@@ -25,7 +25,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def line_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without lines that stood earlier; those of which every line stood earlier go, all others stay."""
     bounded(spark)
-    left = line_dedup.deduplicated(docs).where("not (n_kept = 0 and n_removed > 0)")
+    left = line_dedup.clean(docs)
     return left.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 
