@@ -40,7 +40,6 @@ MIN_WORDS = 8
 BLOCK = 32
 STEP = 8
 _SPACE = " \t\r\x0b\x0c"
-_UNEVEN = f"[{_SPACE[1:]}]|  | \n|\n |\\A | \\z"
 _PLACE = "decimal(38,0)"
 _LINES = 10**10
 HOT = 20_000
@@ -48,8 +47,11 @@ HOT = 20_000
 
 def _even(text: Column) -> Column:
     """A text with one blank between words and none at the ends of lines; it has the same number of lines."""
+    uneven = F.startswith(text, F.lit(" ")) | F.endswith(text, F.lit(" "))
+    for mark in (*_SPACE[1:], "  ", " \n", "\n "):
+        uneven |= F.contains(text, F.lit(mark))
     single = F.regexp_replace(text, f"[{_SPACE}]+", " ")
-    return F.when(text.rlike(_UNEVEN), F.regexp_replace(single, "(?<![^\\n]) | (?![^\\n])", "")).otherwise(text)
+    return F.when(uneven, F.regexp_replace(single, "(?<![^\\n]) | (?![^\\n])", "")).otherwise(text)
 
 
 def _with_keys(lines: DataFrame) -> DataFrame:
@@ -189,7 +191,8 @@ def _counted(docs: DataFrame, min_words: int) -> tuple[DataFrame, list[str]]:
     )
     rows = docs.withColumn(text_hash, F.xxhash64(F.coalesce("text", F.lit("")))).join(lost, (F.col(text_hash) == F.col(g_t)) & F.col("doc_id").eqNullSafe(F.col(g_id)), "left")
     kept = F.when(F.col(gone).isNull(), F.col("text")).otherwise(F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains(gone, i)), "\n"))
-    lines = F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.regexp_count("text", F.lit(f"(?<![^\\n])[{_SPACE}]*[^{_SPACE}\\n]"))).cast("long")
+    with_words = F.size(F.filter(F.split("text", "\n"), lambda x: F.trim(x, F.lit(_SPACE)) != ""))
+    lines = F.when(F.col("text").isNull(), F.lit(0)).otherwise(with_words).cast("long")
     removed = F.when(F.col(gone).isNull(), F.lit(0)).otherwise(F.size(gone)).cast("long")
     made = [n_lines, n_kept, n_removed, n_near, n_links]
     counts = [lines, lines - removed, removed, F.coalesce(n_near, F.lit(0)).cast("long"), F.coalesce(n_links, F.lit(0)).cast("long")]
