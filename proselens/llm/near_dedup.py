@@ -35,6 +35,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -130,8 +131,11 @@ def signatures(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFra
 
 
 def features(docs: DataFrame) -> DataFrame:
-    """(id, h binary, w binary, total double, bits array<bigint>) of rows (id, text): sorted shingle hashes, weights
-    unless all are 1, the sum of weights, and a sketch in which each shingle sets one bit."""
+    """(id, h binary, w binary, total double, bits array<bigint>, task int) of rows (id, text): sorted shingle hashes,
+    weights unless all are 1, the sum of weights, a sketch in which each shingle sets one bit, and the task that made it.
+
+    Rows that repeat an id come out once a task.
+    """
 
     def sketches(text: np.ndarray, h: np.ndarray, n: int) -> pa.Array:
         bits = np.zeros(n * SKETCH_LONGS, np.uint64)
@@ -140,8 +144,10 @@ def features(docs: DataFrame) -> DataFrame:
         return pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * SKETCH_LONGS, pa.int32()), pa.array(bits.view(np.int64)))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, seen = TaskContext.get().partitionId(), set()
         for batch in batches:
-            for part in wordscan.slices(batch, "text"):
+            new = [k for k, i in enumerate(batch.column("id").to_pylist()) if i not in seen and not seen.add(i)]
+            for part in wordscan.slices(batch.take(pa.array(new, pa.int64())), "text"):
                 text, h, w = weighted(wordscan.scan(part.column("text")))
                 ends = np.searchsorted(text, np.arange(part.num_rows + 1))
                 spans = list(zip(ends[:-1], ends[1:], strict=True))
@@ -152,11 +158,12 @@ def features(docs: DataFrame) -> DataFrame:
                         pa.array([w[a:b].tobytes() if (w[a:b] != 1).any() else None for a, b in spans], pa.binary()),
                         pa.array([float(w[a:b].sum()) for a, b in spans], pa.float64()),
                         sketches(text, h, part.num_rows),
+                        pa.array(np.full(part.num_rows, task), pa.int32()),
                     ],
-                    ["id", "h", "w", "total", "bits"],
+                    ["id", "h", "w", "total", "bits", "task"],
                 )
 
-    return docs.select("id", "text").mapInArrow(work, f"id {docs.schema['id'].dataType.simpleString()}, h binary, w binary, total double, bits array<bigint>")
+    return docs.select("id", "text").mapInArrow(work, f"id {docs.schema['id'].dataType.simpleString()}, h binary, w binary, total double, bits array<bigint>, task int")
 
 
 def linked(pairs: DataFrame, feats: DataFrame, similarity: float) -> DataFrame:
@@ -240,7 +247,10 @@ def _texts(docs: DataFrame, similarity: float, bands: int, rows: int) -> DataFra
     wanted = cut(texts.join(members.select("id").distinct(), "id", "left_semi").select(F.col("least").alias("doc_id"), "k", "id"), "wanted")
     wide = 64 if docs.schema["doc_id"].dataType.simpleString() in ("bigint", "int") else 1 << 10
     read = named.withColumn("k", text_key(F.col("text"))).join(small(wanted, wide), ["doc_id", "k"]).select("id", "text")
-    feats = cut(features(read).groupBy("id").agg(*(F.first(c).alias(c) for c in ("h", "w", "total", "bits"))), "features")
+    feats = cut(features(read), "features")
+    again = cut(feats.groupBy("id").agg(F.count("*").alias("n"), F.min("task").alias("one")).where("n > 1").select("id", "one"), "again")
+    if again.count():  # rows of one id and text in several tasks: the first task's counts
+        feats = feats.join(small(again, 64), "id", "left").where("one is null or one = task").drop("one")
     links = cut(linked(pairs, feats, similarity), "links")
     first = cut(components(links), "first")
 
