@@ -123,6 +123,8 @@ def test_representatives(spark, odd, empty):
     assert near_dedup.representatives(empty).count() == 0
     one = {r.doc_id: r.class_id for r in near_dedup.classes(docs.where("doc_id in (0, 2, 3)")).collect()}
     assert one == {0: 0, 2: 2, 3: 3}
+    many = docs.where("doc_id is not null").unionByName(docs.where("doc_id is not null")).repartition(8)  # repeated rows in several tasks
+    assert sorted(r.doc_id for r in near_dedup.representatives(many).collect()) == [0, 1, 3, 4]
 
 
 def test_sharding(spark, odd, empty):
