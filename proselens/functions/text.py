@@ -22,24 +22,40 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def running(values: Column, block: int = 64) -> Column:
+    """The sums of the first 1, 2, ... values of an array of ints, in steps of blocks: appending copies a block at most."""
+
+    def summed(a: Column, v: Column) -> Column:
+        return F.struct((a["at"] + v).alias("at"), F.array_append(a["out"], a["at"] + v).alias("out"))
+
+    def based(a: Column, b: Column) -> Column:
+        return F.struct((a["at"] + b["at"]).alias("at"), F.array_append(a["out"], a["at"]).alias("out"))
+
+    none = F.array().cast("array<int>")
+    zero = F.struct(F.lit(0).alias("at"), none.alias("out"))
+
+    def blocks(v: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.size(v) - 1, F.lit(block)), lambda i: F.aggregate(F.slice(v, i + 1, block), zero, summed))
+
+    def joined(b: Column) -> Column:
+        bases = F.aggregate(b, zero, based, lambda a: a["out"])
+        return F.flatten(F.transform(F.arrays_zip(b.alias("b"), bases.alias("base")), lambda x: F.transform(x["b"]["out"], lambda v: v + x["base"])))
+
+    return let(values, lambda v: F.when(F.size(v) > 0, let(blocks(v), joined)).otherwise(none))
+
+
 def spans(text: Column, pattern: str) -> Column:
     """All matches, leftmost and without overlap, as array<struct<start, end, match>>.
 
-    The text is split at the matches; a match begins where the pieces and matches before it end.
+    The text is split at the matches; a match ends where the pieces and matches up to it end.
     """
     matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     none = F.array().cast(f"array<{SPAN}>")
 
     def placed(m: Column) -> Column:
-        pieces = F.arrays_zip(F.slice(F.split(text, pattern, -1), 1, F.size(m)).alias("gap"), m.alias("match"))
-
-        def step(a: Column, x: Column) -> Column:
-            start = a["at"] + F.length(x["gap"])
-            end = start + F.length(x["match"])
-            one = F.struct(start.alias("start"), end.alias("end"), x["match"].alias("match"))
-            return F.struct(end.alias("at"), F.array_append(a["found"], one).alias("found"))
-
-        return F.aggregate(pieces, F.struct(F.lit(0).alias("at"), none.alias("found")), step, lambda a: a["found"])
+        gaps = F.slice(F.split(text, pattern, -1), 1, F.size(m))
+        ends = running(F.zip_with(gaps, m, lambda g, x: F.length(g) + F.length(x)))
+        return F.zip_with(ends, m, lambda e, x: F.struct((e - F.length(x)).alias("start"), e.alias("end"), x.alias("match")))
 
     return F.when(text.rlike(pattern), let(matches, placed)).otherwise(none)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from proselens.functions.text import SPACE, let, normalized, slice_of
+from proselens.functions.text import SPACE, let, running, slice_of
 from proselens.operators.ranges import RANGE
 from proselens.operators.structure import is_sentence_start
 
@@ -17,14 +17,8 @@ def occurrences(text: Column, wanted: Column) -> Column:
     """
     quoted = F.concat(F.lit("(?=\\Q"), F.replace(wanted, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E)"))
     pieces = F.transform(F.split(text, quoted, -1), lambda p: F.length(p))
-
-    def step(a: Column, n: Column) -> Column:
-        at = a["at"] + n
-        return F.struct(at.alias("at"), F.array_append(a["found"], at).alias("found"))
-
     first = F.when(F.startswith(text, wanted), F.array(F.lit(0))).otherwise(F.array().cast("array<int>"))
-    begin = F.struct(F.lit(0).alias("at"), first.alias("found"))
-    return F.aggregate(pieces, begin, step, lambda a: F.slice(a["found"], 1, F.greatest(F.size(a["found"]) - 1, F.lit(0))))
+    return F.concat(first, let(running(pieces), lambda r: F.slice(r, 1, F.greatest(F.size(r) - 1, F.lit(0)))))
 
 
 def case_only(original: Column, replacement: Column) -> Column:
@@ -81,5 +75,3 @@ def normalized_case(text: Column) -> Column:
     """White space as single blanks, trimmed; case as it is."""
     return F.trim(F.regexp_replace(text, f"[{SPACE}]+", " "))
 
-
-__all__ = ["align", "anchored", "case_only", "normalized", "occurrences", "relocate"]
