@@ -12,8 +12,9 @@ with its share of that first vector as one more partial partition: so the small
 large ones have left uneven, and the cells' sums add up evenly without a further step.  Every task holds one cell.
 
 The law that holds is ``bytes``: sizes near equal, as far as whole groups allow (one group of a third of all bytes
-makes its shard that large).  Slots number the rows of a shard from 0 without gaps, by counting in chunks and adding
-the counts of the chunks before.
+makes its shard that large).  Slots number the rows of a shard from 0 without gaps.  Rows that are equal in id and text
+are counted first and take a run of slots, so what is numbered, in chunks, are different rows; the counts of the chunks
+before are added, and long runs are written out by several tasks.
 
 Defined cases: a null text has 0 bytes and groups with the empty text; a null doc_id is an ordinary id; repeated rows
 keep their own slots; an empty table gives an empty result; other columns are not looked at.
@@ -29,11 +30,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import cut, drop, table
 
 SHARDS = 24
 CELL_GROUPS = 4_000
 CHUNK_ROWS = 4_000
+RUN_ROWS = 10_000
 OVERHEAD = 8
 
 
@@ -85,7 +87,7 @@ def _placed(t: pa.Table, first: np.ndarray | None, shards: int) -> np.ndarray:
 def assign(groups: DataFrame, shards: int = SHARDS, cell_groups: int = CELL_GROUPS) -> DataFrame:
     """(key binary, bytes bigint) groups to (key, shard int)."""
     groups = cut(groups.select("key", "bytes"), "groups")
-    n, total = groups.agg(F.count("*"), F.sum("bytes")).first()
+    n, total = groups.agg(F.count("*"), F.coalesce(F.sum("bytes"), F.lit(0))).first()
     order = [("bytes", "descending"), ("key", "ascending")]
 
     def largest(t: pa.Table) -> pa.Table:
@@ -94,8 +96,6 @@ def assign(groups: DataFrame, shards: int = SHARDS, cell_groups: int = CELL_GROU
 
     top = groups.orderBy(F.desc("bytes"), "key").limit(cell_groups)
     top = cut(top.groupBy(F.lit(0).alias("cell")).applyInArrow(lambda t: largest(t.drop_columns(["cell"]) if "cell" in t.column_names else t), "key binary, bytes bigint, shard int"), "top")
-    if n <= cell_groups:
-        return top.select("key", "shard")
     sums = np.zeros(shards)
     for row in top.groupBy("shard").agg(F.sum("bytes").alias("bytes")).collect():  # at most one row a shard
         sums[row.shard] = row.bytes
@@ -105,24 +105,32 @@ def assign(groups: DataFrame, shards: int = SHARDS, cell_groups: int = CELL_GROU
         t = t.sort_by(order)
         return pa.table({"key": t["key"], "shard": pa.array(_placed(t, share, shards), pa.int32())})
 
-    rest = groups.join(F.broadcast(top.select("key")), "key", "left_anti").withColumn("cell", F.pmod(F.xxhash64("key"), F.lit(-(-n // cell_groups))))
+    rest = groups.join(F.broadcast(top.select("key")), "key", "left_anti").withColumn("cell", F.pmod(F.xxhash64("key"), F.lit(max(1, -(-n // cell_groups)))))
     return top.select("key", "shard").unionByName(rest.groupBy("cell").applyInArrow(cell, "key binary, shard int"))
 
 
-def shard(docs: DataFrame, shards: int = SHARDS, cell_groups: int = CELL_GROUPS, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+def shard(docs: DataFrame, shards: int = SHARDS, cell_groups: int = CELL_GROUPS, chunk_rows: int = CHUNK_ROWS, run_rows: int = RUN_ROWS) -> DataFrame:
     """Every row of ``docs`` (doc_id, text) as doc_id, size, text_crc32, shard and its slot there."""
     text = F.coalesce("text", F.lit(""))
     rows = docs.select("doc_id", (F.octet_length(text) + OVERHEAD).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.unhex(F.md5(text.cast("binary"))).alias("key"))
-    shard_of = assign(rows.groupBy("key").agg(F.sum("size").alias("bytes")), shards, cell_groups)
-    placed = cut(rows.join(shard_of, "key").select("doc_id", "size", "text_crc32", "shard"), "placed")
+    alike = cut(rows.groupBy("doc_id", "size", "text_crc32", "key").agg(F.count("*").alias("n")), "alike")
+    shard_of = assign(alike.groupBy("key").agg(F.sum(F.col("size") * F.col("n")).alias("bytes")), shards, cell_groups)
+    placed = cut(alike.join(shard_of, "key"), "placed")
+    drop(alike)
     chunks = max(1, -(-placed.count() // chunk_rows))
-    placed = placed.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(chunks)))
-    before = placed.groupBy("shard", "chunk").count().select("shard", "chunk", (F.sum("count").over(W.partitionBy("shard").orderBy("chunk")) - F.col("count")).alias("before"))
-    return (
-        placed.withColumn("own", F.row_number().over(W.partitionBy("shard", "chunk").orderBy("doc_id", "text_crc32", "size")))
-        .join(before, ["shard", "chunk"])
-        .select("doc_id", "size", "text_crc32", "shard", (F.col("before") + F.col("own") - 1).cast("long").alias("slot"))
-    )
+    placed = placed.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "key"), F.lit(chunks)))
+    before = placed.groupBy("shard", "chunk").agg(F.sum("n").alias("held")).select("shard", "chunk", (F.sum("held").over(W.partitionBy("shard").orderBy("chunk")) - F.col("held")).alias("before"))
+    own = F.sum("n").over(W.partitionBy("shard", "chunk").orderBy("doc_id", "key").rowsBetween(W.unboundedPreceding, W.currentRow))
+    numbered = placed.withColumn("own", own).join(before, ["shard", "chunk"]).withColumn("first", F.col("before") + F.col("own") - F.col("n"))
+    names = ["doc_id", "size", "text_crc32", "shard"]
+
+    def written(runs: DataFrame) -> DataFrame:
+        return runs.select(*names, F.explode(F.sequence(F.col("first").cast("long"), (F.col("first") + F.col("n") - 1).cast("long"))).alias("slot"))
+
+    piece = F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / run_rows).cast("int")))
+    long = numbered.where(F.col("n") > run_rows).withColumn("piece", piece)
+    long = long.withColumn("first", F.col("first") + F.col("piece") * run_rows).withColumn("n", F.least(F.col("n") - F.col("piece") * run_rows, F.lit(run_rows)))
+    return written(numbered.where(F.col("n") <= run_rows)).unionByName(written(long.repartition("shard", "first")))
 
 
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
