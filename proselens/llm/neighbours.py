@@ -5,9 +5,12 @@
    principal direction, then passes that move vectors to the part most of their neighbours are in, within a capacity.
 2. A small classifier (softmax regression) learns the part from the vector.  It is all that leaves the sample: one row
    of weights a part.
-3. Every vector of the table is indexed in the part the classifier finds likeliest; queries go to the most probable
+3. The number of parts grows with the table, ``part_rows`` vectors each.  Where more than ``most_parts`` are due, each of
+   these is divided again in the same way, by a sample, a graph and a classifier of its own (at most as many as keep all
+   weights within ``weight_bytes``); from there on the parts grow.
+4. Every vector of the table is indexed in the part the classifiers find likeliest; queries go to the most probable
    parts, until the parts' probabilities sum to ``mass`` and the parts hold enough vectors.
-4. In each part, blocks of at most ``block_rows`` vectors meet blocks of queries; a block gives each query its nearest
+5. In each part, blocks of at most ``block_rows`` vectors meet blocks of queries; a block gives each query its nearest
    by exact cosine in double precision, and the blocks' answers are merged.
 
 No part is capped: a part of any size is just more blocks, and so is a part with very many queries.  Of equal vectors
@@ -33,16 +36,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import cut, drop, table
+from .wordscan import mix
 
 
 @dataclass(frozen=True)
 class Settings:
     sample_rows: int = 8_192
     neighbours: int = 10
-    part_rows: int = 1_000
+    part_rows: int = 200
     most_parts: int = 256
-    mass: float = 0.98
+    weight_bytes: int = 32 << 20
+    mass: float = 0.99
     block_rows: int = 4_096
     query_rows: int = 1_024
 
@@ -105,17 +110,17 @@ def softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(1, keepdims=True)
 
 
-def classifier(x: np.ndarray, part: np.ndarray, parts: int, steps: int = 300, rate: float = 0.3, decay: float = 1e-4) -> np.ndarray:
+def classifier(x: np.ndarray, part: np.ndarray, parts: int, steps: int = 200, rate: float = 0.3, decay: float = 1e-4) -> np.ndarray:
     """Softmax regression by Adam: weights of shape (dimensions + 1, parts)."""
-    a = np.hstack([x, np.ones((len(x), 1))])
-    w = np.zeros((a.shape[1], parts))
-    target = np.eye(parts)[part]
+    a = np.hstack([x, np.ones((len(x), 1))]).astype(np.float32)
+    w = np.zeros((a.shape[1], parts), np.float32)
+    target = np.eye(parts, dtype=np.float32)[part]
     m, v = np.zeros_like(w), np.zeros_like(w)
     for t in range(1, steps + 1):
         g = a.T @ (softmax(a @ w) - target) / len(a) + decay * w
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         w -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-    return w
+    return w.astype(np.float32)
 
 
 def fit(x: np.ndarray, parts: int, s: Settings) -> np.ndarray:
@@ -179,65 +184,160 @@ def valid(vectors: DataFrame) -> tuple[DataFrame, str, int]:
     return known.mapInArrow(work, "vec_id bigint, v binary"), kind, size
 
 
-def search(vectors: DataFrame, wanted: F.Column, k: int = 5, settings: Settings = Settings()) -> DataFrame:
-    """(query_id, rank, vec_id, score): the k nearest found of each row of ``vectors`` (vec_id, embedding) that is ``wanted``."""
-    s = settings
-    rows, kind, size = valid(vectors)
-    rows = cut(rows, "vectors")
+class Router:
+    """The classifiers: of the parts, and of the parts within each of them (none: they are not divided)."""
+
+    def __init__(self, first: np.ndarray, second: dict[int, np.ndarray], subs: int):
+        self.first, self.second, self.subs = first, second, subs
+        self.leaves = first.shape[1] * subs
+
+    def shares(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(vectors with a one at the end, probability of each part)."""
+        a = np.hstack([unit(x.astype(np.float64)), np.ones((len(x), 1))])
+        return a, softmax(a @ self.first)
+
+    def within(self, a: np.ndarray, part: int) -> np.ndarray:
+        if part not in self.second:
+            return np.eye(1, self.subs).repeat(len(a), 0)
+        return softmax(a @ self.second[part])
+
+    def place(self, x: np.ndarray) -> np.ndarray:
+        """The likeliest leaf of each vector."""
+        a, p = self.shares(x)
+        part = p.argmax(1)
+        leaf = part * self.subs
+        if self.subs > 1:
+            for c in np.unique(part):
+                at = np.flatnonzero(part == c)
+                leaf[at] += self.within(a[at], int(c)).argmax(1)
+        return leaf
+
+    def route(self, x: np.ndarray, held: np.ndarray, mass: float, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """(vector number, leaf) of the leaves that each vector is to be looked up in, the most probable ones."""
+        a, p = self.shares(x)
+        order = np.argsort(-p, axis=1, kind="stable")
+        ranked = np.take_along_axis(p, order, 1)
+        near = (np.cumsum(ranked, 1) - ranked < (1 + mass) / 2) | (np.cumsum(held.reshape(-1, self.subs).sum(1)[order], 1) <= k)
+        rows, columns = np.nonzero(near | (np.arange(p.shape[1]) == 0))
+        parts = order[rows, columns]
+        row, leaf, share = [], [], []
+        for c in np.unique(parts):
+            at = rows[parts == c]
+            row.append(np.repeat(at, self.subs))
+            leaf.append(np.tile(np.arange(self.subs) + c * self.subs, len(at)))
+            share.append((self.within(a[at], int(c)) * p[at, c][:, None]).ravel())
+        row, leaf, share = (np.concatenate(v) for v in (row, leaf, share))
+        some = held[leaf] > 0
+        row, leaf, share = row[some], leaf[some], share[some]
+        order = np.lexsort((leaf, -share, row))
+        row, leaf, share = row[order], leaf[order], share[order]
+        begin = np.searchsorted(row, np.arange(len(x)))[row]
+
+        def before(v: np.ndarray) -> np.ndarray:
+            total = np.concatenate([[0], np.cumsum(v)])
+            return total[:-1] - total[begin]
+
+        keep = (before(share) < mass) | (before(held[leaf]) <= k)
+        return row[keep], leaf[keep]
+
+
+def trained(rows: DataFrame, kind: str, size: int, s: Settings) -> Router:
+    """The router for (vec_id, v) rows; samples are those of smallest hash, or of a share of hashes within each part."""
     n = rows.count()
-    parts = int(min(s.most_parts, max(1, n // s.part_rows)))
-    weights = np.zeros((size + 1, parts))
+    due = max(1, -(-n // s.part_rows))
+    parts = min(s.most_parts, due)
+    subs = max(1, min(-(-due // parts), s.most_parts, s.weight_bytes // (4 * parts * (size + 1))))
+    router = Router(np.zeros((size + 1, parts), np.float32), {}, 1)
+
+    def fitted(t: pa.Table, k: int) -> bytes:
+        t = t.sort_by([("vec_id", "ascending"), ("v", "ascending")])
+        return fit(_matrix(t["v"], kind, size).astype(np.float64), k, s).tobytes()
+
     if parts > 1:
 
         def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            t = pa.Table.from_batches(list(batches)).sort_by([("vec_id", "ascending"), ("v", "ascending")])
-            w = fit(_matrix(t["v"], kind, size).astype(np.float64), parts, s)
-            yield pa.record_batch([pa.array([w.tobytes()], pa.binary())], ["w"])
+            yield pa.record_batch([pa.array([fitted(pa.Table.from_batches(list(batches)), parts)], pa.binary())], ["w"])
 
         sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id", "v").limit(s.sample_rows)
-        weights = np.frombuffer(sample.repartition(1).mapInArrow(learn, "w binary").first().w).reshape(size + 1, parts)
+        weights = sample.repartition(1).mapInArrow(learn, "w binary").first().w
+        router = Router(np.frombuffer(weights, np.float32).reshape(size + 1, parts), {}, 1)
+    if subs > 1:
+        held = np.ones(parts)
+        placed = cut(rows.mapInArrow(_placer(router, kind, size), "vec_id bigint, v binary, part int"), "placed")
+        for row in placed.groupBy("part").count().collect():  # one row a part
+            held[row.part] = row["count"]
+        limits = np.minimum(s.sample_rows / held, 1.0)
+
+        def sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                share = (mix(batch.column("vec_id").to_numpy().view(np.uint64)) >> np.uint64(11)).astype(np.float64) * 2.0**-53
+                yield batch.take(pa.array(np.flatnonzero(share < limits[batch.column("part").to_numpy()])))
+
+        def learn_part(t: pa.Table) -> pa.Table:
+            return pa.table({"part": t["part"].slice(0, 1), "w": pa.array([fitted(t, subs) if t.num_rows >= subs else None], pa.binary())})
+
+        second = placed.mapInArrow(sampled, "vec_id bigint, v binary, part int").groupBy("part").applyInArrow(learn_part, "part int, w binary").collect()
+        router = Router(router.first, {r.part: np.frombuffer(r.w, np.float32).reshape(size + 1, subs) for r in second if r.w}, subs)
+        drop(placed)
+    return router
+
+
+def _placer(router: Router, kind: str, size: int):
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            leaf = router.place(_matrix(batch.column("v"), kind, size)) if batch.num_rows else np.zeros(0, int)
+            yield pa.record_batch([batch.column("vec_id"), batch.column("v"), pa.array(leaf, pa.int32())], ["vec_id", "v", "part"])
 
-    def shares(x: np.ndarray) -> np.ndarray:
-        x = unit(x.astype(np.float64))
-        return softmax(np.hstack([x, np.ones((len(x), 1))]) @ weights)
+    return place
 
-    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            part = shares(_matrix(batch.column("v"), kind, size)).argmax(1) if batch.num_rows else np.zeros(0, int)
-            yield pa.record_batch([batch.column("vec_id"), batch.column("v"), pa.array(part, pa.int32())], ["vec_id", "v", "part"])
 
-    index = cut(rows.mapInArrow(placed, "vec_id bigint, v binary, part int"), "index")
-    held = np.zeros(parts, np.int64)
-    for row in index.groupBy("part").count().collect():  # one row a part
-        held[row.part] = row["count"]
+def search(vectors: DataFrame, wanted: F.Column, k: int = 5, settings: Settings = Settings()) -> DataFrame:
+    """(query_id, rank, vec_id, score): the k nearest found of each row of ``vectors`` (vec_id, embedding) that is ``wanted``."""
+    s = settings
+    rows, kind, size = valid(vectors)
+    rows = cut(rows, "vectors")
+    router = trained(rows, kind, size, s)
+    index = cut(rows.mapInArrow(_placer(router, kind, size), "vec_id bigint, v binary, part int"), "index")
+    drop(rows)
+
+    def counted(df: DataFrame) -> np.ndarray:
+        out = np.zeros(router.leaves, np.int64)
+        for row in df.groupBy("part").count().collect():  # one row a part
+            out[row.part] = row["count"]
+        return out
+
+    held = counted(index)
 
     def routed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            p = shares(_matrix(batch.column("v"), kind, size))
-            order = np.argsort(-p, axis=1, kind="stable")
-            before = np.cumsum(np.take_along_axis(p, order, 1), 1) - np.take_along_axis(p, order, 1)
-            reached = np.cumsum(held[order], 1) - held[order]
-            row, at = np.nonzero((before < s.mass) | (reached <= k))
-            take = pa.array(row)
-            yield pa.record_batch([batch.column("vec_id").take(take), batch.column("v").take(take), pa.array(order[row, at], pa.int32())], ["vec_id", "v", "part"])
+            if batch.num_rows:
+                row, leaf = router.route(_matrix(batch.column("v"), kind, size), held, s.mass, k)
+                take = pa.array(row)
+                yield pa.record_batch([batch.column("vec_id").take(take), batch.column("v").take(take), pa.array(leaf, pa.int32())], ["vec_id", "v", "part"])
 
     queries = cut(index.where(wanted).select("vec_id", "v").mapInArrow(routed, "vec_id bigint, v binary, part int"), "queries")
-    asked = np.zeros(parts, np.int64)
-    for row in queries.groupBy("part").count().collect():  # one row a part
-        asked[row.part] = row["count"]
+    asked = counted(queries)
     blocks, groups = (np.maximum(1, -(-a // b)) for a, b in ((held, s.block_rows), (asked, s.query_rows)))
 
-    def many(counts: np.ndarray) -> F.Column:
-        return F.element_at(F.array(*(F.lit(int(c)) for c in counts)), F.col("part") + 1)
-
-    def upto(counts: F.Column) -> F.Column:
-        return F.explode(F.sequence(F.lit(0), counts - 1))
-
-    own = F.xxhash64("vec_id")
-    left = index.withColumn("block", F.pmod(own, many(blocks)).cast("int")).withColumn("group", upto(many(groups)))
-    right = queries.withColumn("group", F.pmod(own, many(groups)).cast("int")).withColumn("block", upto(many(blocks)))
+    def dealt(own: np.ndarray, other: np.ndarray, names: tuple[str, str]):
+        """Each row in its block of its own kind, once for each block of the other kind in its part."""
+
+        def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                part = batch.column("part").to_numpy()
+                mine = (mix(batch.column("vec_id").to_numpy().view(np.uint64)) % own[part].astype(np.uint64)).astype(np.int32)
+                times = np.where(asked[part] > 0, other[part], 0)
+                row = np.repeat(np.arange(len(part)), times)
+                nth = np.arange(len(row)) - np.repeat(np.cumsum(times) - times, times)
+                take = pa.array(row)
+                columns = dict(zip(names, (pa.array(mine[row], pa.int32()), pa.array(nth.astype(np.int32), pa.int32())), strict=True))
+                yield pa.record_batch([*(batch.column(c).take(take) for c in ("vec_id", "v", "part")), columns["block"], columns["group"]], ["vec_id", "v", "part", "block", "group"])
+
+        return work
+
+    schema = "vec_id bigint, v binary, part int, block int, group int"
+    left = index.mapInArrow(dealt(blocks, groups, ("block", "group")), schema)
+    right = queries.mapInArrow(dealt(groups, blocks, ("group", "block")), schema)
 
     def answer(a: pa.Table, b: pa.Table) -> pa.Table:
         if not a.num_rows or not b.num_rows:
