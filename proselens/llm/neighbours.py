@@ -10,10 +10,11 @@
    weights within ``weight_bytes``); from there on the parts grow.
 4. Every vector of the table is indexed in the part the classifiers find likeliest; queries go to the most probable
    parts, until the parts' probabilities sum to ``mass`` and the parts hold enough vectors.
-5. In each part, blocks of at most ``block_rows`` vectors meet blocks of queries; a block gives each query its nearest
-   by exact cosine in double precision, and the blocks' answers are merged.
+5. Neighbouring parts of about ``block_rows`` vectors in all are one bundle, which meets the queries of its parts; it gives
+   each query the nearest in the parts that the query goes to, by exact cosine in double precision, and the bundles'
+   answers are merged.
 
-No part is capped: a part of any size is just more blocks, and so is a part with very many queries.  Of equal vectors
+No part is capped: a bundle that one large part makes larger is just more blocks, and so is one with very many queries.  Of equal vectors
 in a block only the smallest ids are compared (one more than are asked for), which changes no answer.  The rows that
 move are each vector once for each block of queries of its part, and each query once for each block of the parts it
 goes to.
@@ -300,53 +301,77 @@ def search(vectors: DataFrame, wanted: F.Column, k: int = 5, settings: Settings
     index = cut(rows.mapInArrow(_placer(router, kind, size), "vec_id bigint, v binary, part int"), "index")
     drop(rows)
 
-    def counted(df: DataFrame) -> np.ndarray:
-        out = np.zeros(router.leaves, np.int64)
-        for row in df.groupBy("part").count().collect():  # one row a part
-            out[row.part] = row["count"]
+    def counted(df: DataFrame, column: str, n: int) -> np.ndarray:
+        out = np.zeros(n, np.int64)
+        for row in df.groupBy(column).count().collect():  # one row a part
+            out[row[column]] = row["count"]
         return out
 
-    held = counted(index)
+    held = counted(index, "part", router.leaves)
+    bundle_of = (np.cumsum(held) - held) // s.block_rows
+    bundle_of = np.unique(bundle_of, return_inverse=True)[1]
+    n = int(bundle_of.max()) + 1
 
     def routed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                row, leaf = router.route(_matrix(batch.column("v"), kind, size), held, s.mass, k)
-                take = pa.array(row)
-                yield pa.record_batch([batch.column("vec_id").take(take), batch.column("v").take(take), pa.array(leaf, pa.int32())], ["vec_id", "v", "part"])
-
-    queries = cut(index.where(wanted).select("vec_id", "v").mapInArrow(routed, "vec_id bigint, v binary, part int"), "queries")
-    asked = counted(queries)
-    blocks, groups = (np.maximum(1, -(-a // b)) for a, b in ((held, s.block_rows), (asked, s.query_rows)))
-
-    def dealt(own: np.ndarray, other: np.ndarray, names: tuple[str, str]):
-        """Each row in its block of its own kind, once for each block of the other kind in its part."""
+            if not batch.num_rows:
+                continue
+            row, leaf = router.route(_matrix(batch.column("v"), kind, size), held, s.mass, k)
+            order = np.lexsort((leaf, row))
+            row, leaf = row[order], leaf[order].astype(np.int32)
+            new = np.ones(len(row), bool)
+            new[1:] = (row[1:] != row[:-1]) | (bundle_of[leaf[1:]] != bundle_of[leaf[:-1]])
+            begin = np.flatnonzero(new)
+            take = pa.array(row[begin])
+            leaves = pa.ListArray.from_arrays(pa.array(np.append(begin, len(row)).astype(np.int32)), pa.array(leaf))
+            yield pa.record_batch([batch.column("vec_id").take(take), batch.column("v").take(take), leaves, pa.array(bundle_of[leaf[begin]], pa.int32())], ["vec_id", "v", "part", "bundle"])
+
+    queries = cut(index.where(wanted).select("vec_id", "v").mapInArrow(routed, "vec_id bigint, v binary, part array<int>, bundle int"), "queries")
+    asked = counted(queries, "bundle", n)
+    blocks = np.maximum(1, np.bincount(bundle_of, weights=held, minlength=n).astype(np.int64) // s.block_rows)
+    groups = np.maximum(1, -(-asked // s.query_rows))
+
+    def dealt(own: np.ndarray, other: np.ndarray, names: tuple[str, str], of_index: bool):
+        """Each row in its block of its own kind, once for each block of the other kind in its bundle."""
 
         def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                part = batch.column("part").to_numpy()
-                mine = (mix(batch.column("vec_id").to_numpy().view(np.uint64)) % own[part].astype(np.uint64)).astype(np.int32)
-                times = np.where(asked[part] > 0, other[part], 0)
-                row = np.repeat(np.arange(len(part)), times)
+                bundle = bundle_of[batch.column("part").to_numpy()] if of_index else batch.column("bundle").to_numpy()
+                mine = (mix(batch.column("vec_id").to_numpy().view(np.uint64)) % own[bundle].astype(np.uint64)).astype(np.int32)
+                times = np.where(asked[bundle] > 0, other[bundle], 0)
+                row = np.repeat(np.arange(len(bundle)), times)
                 nth = np.arange(len(row)) - np.repeat(np.cumsum(times) - times, times)
                 take = pa.array(row)
                 columns = dict(zip(names, (pa.array(mine[row], pa.int32()), pa.array(nth.astype(np.int32), pa.int32())), strict=True))
-                yield pa.record_batch([*(batch.column(c).take(take) for c in ("vec_id", "v", "part")), columns["block"], columns["group"]], ["vec_id", "v", "part", "block", "group"])
+                yield pa.record_batch([*(batch.column(c).take(take) for c in ("vec_id", "v", "part")), pa.array(bundle[row].astype(np.int32)), columns["block"], columns["group"]], ["vec_id", "v", "part", "bundle", "block", "group"])
 
         return work
 
-    schema = "vec_id bigint, v binary, part int, block int, group int"
-    left = index.mapInArrow(dealt(blocks, groups, ("block", "group")), schema)
-    right = queries.mapInArrow(dealt(groups, blocks, ("group", "block")), schema)
+    left = index.mapInArrow(dealt(blocks, groups, ("block", "group"), True), "vec_id bigint, v binary, part int, bundle int, block int, group int")
+    right = queries.mapInArrow(dealt(groups, blocks, ("group", "block"), False), "vec_id bigint, v binary, part array<int>, bundle int, block int, group int")
 
     def answer(a: pa.Table, b: pa.Table) -> pa.Table:
         if not a.num_rows or not b.num_rows:
             return pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
-        query_ids = b["vec_id"].to_numpy()
-        row, found, score = nearest(a["vec_id"].to_numpy(), _matrix(a["v"], kind, size), query_ids, _matrix(b["v"], kind, size), k)
-        return pa.table({"query_id": pa.array(query_ids[row]), "vec_id": pa.array(found), "score": pa.array(score)})
-
-    keys = ["part", "block", "group"]
+        ids, x, part = a["vec_id"].to_numpy(), _matrix(a["v"], kind, size), a["part"].to_numpy()
+        query_ids, q, lists = b["vec_id"].to_numpy(), _matrix(b["v"], kind, size), b["part"].combine_chunks()
+        leaf = lists.flatten().to_numpy()
+        query = np.repeat(np.arange(len(q)), lists.value_lengths().to_numpy())
+        row, found, score = [], [], []
+        for p in np.unique(part):
+            at, asks = np.flatnonzero(part == p), query[leaf == p]
+            if len(asks):
+                r, f, c = nearest(ids[at], x[at], query_ids[asks], q[asks], k)
+                row, found, score = [*row, asks[r]], [*found, f], [*score, c]
+        if not row:
+            return answer(a.slice(0, 0), b)
+        row, found, score = (np.concatenate(v) for v in (row, found, score))
+        order = np.lexsort((found, -score, row))
+        row, found, score = row[order], found[order], score[order]
+        top = np.arange(len(row)) - np.searchsorted(row, row) < k + len(ids) - len(np.unique(ids))  # an id can have several vectors
+        return pa.table({"query_id": pa.array(query_ids[row[top]]), "vec_id": pa.array(found[top]), "score": pa.array(score[top])})
+
+    keys = ["bundle", "block", "group"]
     found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(answer, "query_id bigint, vec_id bigint, score double")
     best = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     ranked = best.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
