@@ -266,7 +266,7 @@ def test_neighbours(spark):
     u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
     exact = neighbours.Settings(part_rows=100, mass=1.1, block_rows=64, query_rows=3)
     divided = neighbours.Settings(part_rows=40, most_parts=4, mass=1.1)
-    for s in (neighbours.Settings(), exact, divided, neighbours.Settings(part_rows=40, most_parts=4, mass=0.98)):
+    for s in (neighbours.Settings(), exact, divided, neighbours.Settings(part_rows=40, most_parts=4)):
         got = {}
         for r in neighbours.search(df, F.col("vec_id") % 50 == 0, 5, s).collect():
             got.setdefault(r.query_id, {})[r.rank] = r.vec_id
@@ -278,7 +278,7 @@ def test_neighbours(spark):
             want = np.lexsort((np.arange(600), -score))[:5].tolist()
             assert sorted(found) == [1, 2, 3, 4, 5]
             hits += len(set(want) & set(found.values()))
-        assert hits == 60 if s.mass > 1 else hits >= 54
+        assert hits == 60 if s.mass > 1 else hits >= 54, (s, hits)
     assert neighbours.search(df.limit(0), F.lit(True)).count() == 0
     assert neighbours.search(df.where("vec_id < 3"), F.lit(True)).count() == 6
 
