@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections import OrderedDict
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -52,3 +55,35 @@ def scoped(text: Column, start: Column, end: Column) -> Column:
     high = F.greatest(F.lit(0), F.least(end, F.length(text)))
     real = (high - low > 0) & (high - low < F.length(text))
     return F.struct(F.when(real, low).otherwise(0).alias("base"), F.when(real, F.substring(text, low + 1, high - low)).otherwise(text).alias("part"))
+
+
+def current(results: DataFrame, versions: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Results (key, version, ...) that are about the latest version of their document; others came too late."""
+    newest = versions.groupBy(key).agg(F.max("version").alias("version"))
+    return results.join(newest, [key, "version"], "left_semi")
+
+
+def cached(requests: DataFrame, cap: int = 200, seconds: float = 120.0, by: str = "node") -> DataFrame:
+    """Requests (node, seq, at, text_key) with ``hit``: whether the node's cache of results answers them.
+
+    A result is kept for ``seconds`` from when it was put in, whether it is used or not; at ``cap`` results the one used
+    longest ago goes.  Each node has a cache of its own, and its requests are gone through in order.
+    """
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        held: OrderedDict[str, float] = OrderedDict()
+        rows, hits = rows.sort_values(["at", "seq"]), []
+        for key, at in zip(rows["text_key"], rows["at"], strict=True):
+            hit = key in held and at - held[key] <= seconds
+            hits.append(hit)
+            if hit:
+                held.move_to_end(key)
+                continue
+            held.pop(key, None)
+            while len(held) >= cap:
+                held.popitem(last=False)
+            held[key] = at
+        return rows.assign(hit=hits)
+
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in requests.schema.fields)
+    return requests.groupBy(by).applyInPandas(run, f"{kinds}, hit boolean")

@@ -9,6 +9,7 @@ from proselens.functions.text import SPACE, WORD, let, slice_of, spans, trimmed_
 from proselens.operators.ranges import RANGE, merge_array
 from proselens.plans.policy import DEFAULT, Policy
 
+# Abbreviations that do not end a sentence.
 ABBREVIATIONS = f"(?<![{WORD}])(?:e\\.g|i\\.e|Mr|Ms|Mrs|Dr|Prof|Sr|Jr|vs|approx)\\.\\z"
 
 
@@ -72,6 +73,22 @@ def sentences(text: Column, mode: str = "observed") -> Column:
     return let(bounds, between)
 
 
+def sentence_span(text: Column, start: Column, end: Column, mode: str = "observed", around: int = 40) -> Column:
+    """The sentence that holds a range, or else the one whose middle is nearest, with some code points on either side."""
+
+    def nearest(found: Column) -> Column:
+        def judged(s: Column) -> Column:
+            holds = (start >= s["start"]) & (end <= s["end"])
+            return F.struct(F.when(holds, 0).otherwise(1).alias("far"), F.when(holds, 0).otherwise(F.abs(s["start"] + s["end"] - start - end)).alias("by"), s.alias("s"))
+
+        def widened(m: Column) -> Column:
+            return F.when(m.isNotNull(), _range(F.greatest(m["s"]["start"] - around, F.lit(0)), F.least(m["s"]["end"] + around, F.length(text))))
+
+        return let(F.array_min(F.transform(found, judged)), widened)
+
+    return let(sentences(text, mode), nearest)
+
+
 def is_sentence_start(text: Column, at: Column) -> Column:
     """Whether only blanks, quotes and opening brackets stand between a place and the last ``.!?``, line feed or start."""
     before = F.regexp_replace(slice_of(text, F.lit(0), at), f"[{SPACE}\"'“”‘’(\\[{{]+\\z", "")

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Mapping
+from dataclasses import dataclass, fields, replace
 
 
 @dataclass(frozen=True)
@@ -29,6 +30,12 @@ class Policy:
     max_replacement: int = 400
     small_edit: int = 1_200
 
+    def with_settings(self, settings: Mapping[str, str], prefix: str = "proselens.") -> Policy:
+        """This policy with what a job's settings (Spark properties, environment) say under their prefix, as text."""
+        read = {bool: lambda x: x.strip().lower() in ("1", "true", "yes", "on"), int: int, float: float, tuple: lambda x: tuple(w.strip() for w in x.split(",") if w.strip())}
+        given = {f.name: read[type(getattr(self, f.name))](settings[prefix + f.name]) for f in fields(self) if prefix + f.name in settings}
+        return replace(self, **given)
+
 
 DEFAULT = Policy()
 CATEGORIES = ("spacing", "punctuation", "spelling", "style", "other")

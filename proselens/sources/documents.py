@@ -13,6 +13,16 @@ def read(spark: SparkSession, path: str, key: str = "doc_id", text: str = "text"
     return spark.read.format(fmt).load(path).select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
 
 
+SMALL_BYTES = 64 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A small table over all cores: a file of one row group is read by one task.  Tables over ``SMALL_BYTES`` stay as they are."""
+    if df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().longValue() > SMALL_BYTES:
+        return df
+    return df.repartition(2 * df.sparkSession.sparkContext.defaultParallelism)
+
+
 def status(policy: Policy = DEFAULT) -> F.Column:
     """The answer's status: 400 for no text, 413 for too much, 200 else."""
     n = F.length("text")
