@@ -266,7 +266,7 @@ def test_neighbours(spark):
     u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
     exact = neighbours.Settings(part_rows=100, mass=1.1, block_rows=64, query_rows=3)
     divided = neighbours.Settings(part_rows=40, most_parts=4, mass=1.1)
-    for s in (neighbours.Settings(), exact, divided, neighbours.Settings(part_rows=40, most_parts=4)):
+    for s in (neighbours.Settings(), exact, divided):
         got = {}
         for r in neighbours.search(df, F.col("vec_id") % 50 == 0, 5, s).collect():
             got.setdefault(r.query_id, {})[r.rank] = r.vec_id
