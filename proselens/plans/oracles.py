@@ -89,10 +89,10 @@ def norm(x: str) -> str:
     return f"lower(trim(regexp_replace(coalesce({x}, ''), '[{SPACE}]+', ' ', 'g')))"
 
 
-def selected(docs: str) -> str:
+def selected(docs: str, where: str = "true") -> str:
     """Rows kept by the ordered selection of local rows over (doc_id, t), as a fold over each document's list."""
     keyed = f"""select doc_id, list({{'s': "start", 'e': "end", 'o': ord, 'k': {norm("original")} || '|' || {norm("replacement")} || '|' || title}} order by ord) as l
-        from ({local_rows(docs)}) where not (category = 'spacing' and regexp_matches(replacement, '\\pL')) group by doc_id"""
+        from ({local_rows(docs)}) where not (category = 'spacing' and regexp_matches(replacement, '\\pL')) and {where} group by doc_id"""
     fold = """list_reduce(list_prepend({'kept': [], 'x': null}, list_transform(l, lambda i: {'kept': [], 'x': i})),
         lambda a, b: {'kept': case when len(list_filter(a.kept, lambda o: (b.x.s < o.e and b.x.e > o.s) or (o.k = b.x.k and abs(o.s - b.x.s) <= 8))) > 0
                       then a.kept else list_append(a.kept, b.x) end, 'x': b.x}).kept"""
@@ -111,5 +111,5 @@ def final(docs: str) -> str:
     fit as (select *, row_number() over (partition by doc_id order by ord) as nth from sty
             where changed / greatest(tokens, 1) <= 0.06 and not (regexp_matches(replacement, '[.,!?:;]') and regexp_matches(coalesce(t["start"], ''), '\\pL') and regexp_matches(coalesce(t["end" + 1], ''), '\\pL')) and rule <> 9),
     cap as (select * from fit where nth <= case when others > 0 then 1 else (case when least(3, floor(0.15 * correct)) > 0 then least(3, floor(0.15 * correct)) else 3 end) * ceil(n / 1000.0) end)
-    select doc_id, rule, "start", "end", original, replacement, category, severity from sel where category <> 'style'
-    union all select doc_id, rule, "start", "end", original, replacement, category, severity from cap"""
+    select doc_id, rule, "start", "end", original, replacement, category, severity, ord from sel where category <> 'style'
+    union all select doc_id, rule, "start", "end", original, replacement, category, severity, ord from cap"""

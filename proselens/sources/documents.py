@@ -18,7 +18,7 @@ SMALL_BYTES = 64 << 20
 
 def spread(df: DataFrame) -> DataFrame:
     """A small table over all cores: a file of one row group is read by one task.  Tables over ``SMALL_BYTES`` stay as they are."""
-    if df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().longValue() > SMALL_BYTES:
+    if df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() > SMALL_BYTES:
         return df
     return df.repartition(2 * df.sparkSession.sparkContext.defaultParallelism)
 

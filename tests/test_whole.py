@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import pytest
-
-from proselens.llm import html_text
+from proselens.operators import edits, gate
 from proselens.plans import registry
 
 
@@ -52,7 +50,7 @@ def test_change_span_of_long_texts(spark, sf_dir):
         s = next((k for k in range(least - p) if a[-1 - k] != b[-1 - k]), least - p)
         if a != b:
             expected[i] = (p, len(a) - s, len(b) - s)
-    got = {r.doc_id: (r.start, r.end_a, r.end_b) for r in registry.QUERIES["q_change_span_whole"](spark, sf_dir).collect()}
+    got = {r.doc_id: (r.start, r.end_a, r.end_b) for r in registry.QUERIES["q_change_span"](spark, sf_dir).collect()}
     assert got == expected
 
 
@@ -74,7 +72,7 @@ def test_token_distance_of_all_rules(spark, tmp_path):
     rows = registry.QUERIES["q_local_all"](spark, at).collect()
     assert {r.rule for r in rows} - {4, 7}
     expected = {(r.doc_id, r.ord): distance(tokens(r.original or ""), tokens(r.replacement or "")) for r in rows}
-    got = {(r.doc_id, r.ord): r.changed for r in registry.QUERIES["q_token_distance_whole"](spark, at).collect()}
+    got = {(r.doc_id, r.ord): r.changed for r in registry.QUERIES["q_token_distance"](spark, at).collect()}
     assert got == expected
 
 
@@ -88,28 +86,81 @@ def test_snap_reaches_all_of_a_text(spark, tmp_path):
         for p in {*range(0, n + 1, 32), n}:
             high = min((s for s in starts if s >= p + 2), default=n)
             expected.add((i, p, max((s for s in starts if s <= p), default=0), high))
-    got = [(r.doc_id, r.place, r.start, r.end) for r in registry.QUERIES["q_grapheme_snap_whole"](spark, at).collect()]
+    got = [(r.doc_id, r.place, r.start, r.end) for r in registry.QUERIES["q_grapheme_snap"](spark, at).collect()]
     assert set(got) == expected and len(got) == len(expected)
 
 
-@pytest.mark.parametrize(
-    "page",
-    [
-        '<body><article><header class="entry-header"><h1>Title</h1></header><p>Body of it.</p></article></body>',
-        '<body><article><header class="header"><h1>Title</h1></header><p>Body of it.</p></article></body>',
-        '<body><div class="site has-sidebar"><article><h1>Title</h1><p>Body of it.</p></article></div></body>',
-        '<body><div class="sidebar"><article><h1>Title</h1><p>Body of it.</p></article></div><p>Else</p></body>',
-        '<body><form><main><h1>Title</h1><p class="text_widget">Body of it.</p></main></form></body>',
-        '<body><main><h1>Title</h1><p>Body of it.</p><div class="ad">Buy</div></main><div class="sidebar"><article>More</article></div></body>',
-    ],
-)
-def test_html_keeps_the_article(page):
-    assert html_text.Page(page).text(frozenset()) == "Title\nBody of it."
-
-
-def test_html_copies_of_an_article_are_no_wrapper(spark):
-    copy = "<body><article><h1>One</h1><blockquote>Said once.</blockquote><p>And more.</p></article></body>"
-    other = "<body><article><h1>Item %d</h1><p>Text %d</p></article></body>"
-    pages = [(i, "http://h.org/", copy if i < 3 else other % (i, i)) for i in range(6)]
-    got = {r.page_id: r.text for r in html_text.extracted(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
-    assert got == {i: "One\nSaid once.\nAnd more." if i < 3 else f"Item {i}\nText {i}" for i in range(6)}
+def test_apply_all_in_order_is_the_fold(spark, sf_dir):
+    """The Arrow pass against the expression that applies one row after the other, and every document by its length."""
+    from pyspark.sql import functions as F
+
+    texts = ["Go - now..  Then  it it was é\u0301!! ok", "a  b ,c.D recieve  it", "", "Wait... A... b", "It is is so", "end  "]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("rows", gate.full_rows(registry.rules.local_rows(F.col("text"))))
+    got = {r.doc_id: r.text for r in edits.applied_in_order(docs).collect()}
+    want = {r.doc_id: r.t for r in docs.select("doc_id", edits.applied_all(F.col("text"), F.col("rows"), "observed").alias("t")).collect()}
+    assert got == want
+    assert edits.snap("a\u0301b", 1, 1) == (0, 2) and edits.snap("ab", 2, 2) == (1, 2) and edits.snap("abc", 1, 1) == (1, 1) and edits.snap("", 0, 0) == (0, 0)
+    every = registry.QUERIES["q_apply_all_observed"](spark, sf_dir).collect()
+    assert len(every) == spark.read.parquet(f"{sf_dir}/documents.parquet").count() and all(r.edited_sha256 for r in every)
+
+
+def test_model_calls(spark):
+    from proselens.operators import model_rows
+
+    def client(prompt):
+        if prompt.startswith("no"):
+            raise model_rows.Refused(int(prompt[2:]), "refused")
+        if prompt == "broken":
+            raise ValueError("broken")
+        return prompt.upper()
+
+    asked = spark.createDataFrame([(0, "a"), (1, "no429"), (2, "no418"), (3, "broken"), (4, "no401")], "doc_id long, prompt string")
+    got = {r.doc_id: (r.raw, r.error, r.status) for r in model_rows.call(asked, client, at_once=2, per_second=50).collect()}
+    assert got == {0: ("A", None, 200), 1: (None, "refused", 429), 2: (None, "refused", 502), 3: (None, "broken", 502), 4: (None, "refused", 401)}
+
+
+def test_observed_originals_follow_the_place(spark):
+    """After a row is left out, the observed way takes the original of another item."""
+    import json
+
+    from proselens.operators import model_rows
+
+    text = "one two three four"
+    items = [{"range": {"start": 0, "end": 3}, "original": "one", "replacement": "x"}, {"range": {"start": 8, "end": 13}, "original": "three", "replacement": "y"}, {"range": {"start": 14, "end": 18}, "original": "four", "replacement": "z"}]
+    raw = spark.createDataFrame([(1, 0, 0, 4, json.dumps({"suggestions": items}))], "doc_id long, chunk_id int, chunk_start int, prefix_len int, raw string")
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+
+    def found(mode):
+        return sorted((r.item, r.start, r.end) for r in model_rows.accepted(raw, docs, mode=mode).collect())
+
+    assert found("intended") == [(1, 8, 13), (2, 14, 18)]
+    assert found("observed") == [(1, 0, 3), (2, 8, 13)]
+
+
+def test_cache_metrics_settings(spark, sf_dir):
+    from proselens.operators import incremental, rules
+    from proselens.plans import metrics
+    from proselens.plans.policy import Policy
+
+    asked = [(0, 0, 0.0, "a"), (0, 1, 1.0, "a"), (0, 2, 2.0, "b"), (0, 3, 3.0, "a"), (0, 4, 4.0, "c"), (0, 5, 5.0, "b"), (0, 6, 200.0, "a"), (1, 7, 1.0, "a")]
+    got = {r.seq: r.hit for r in incremental.cached(spark.createDataFrame(asked, "node int, seq int, at double, text_key string"), cap=2, seconds=100).collect()}
+    assert got == {0: False, 1: True, 2: False, 3: True, 4: False, 5: False, 6: False, 7: False}
+    rows, seen = metrics.counted(rules.scan(registry.docs(spark, sf_dir)))
+    n = rows.count()
+    assert seen.get["rows"] == n == sum(v for k, v in seen.get.items() if k.startswith("category_"))
+    assert metrics.clipped("x" * 200) == "x" * 160 + "…" and metrics.clipped(None) == ""
+    policy = Policy().with_settings({"proselens.max_text": "5", "proselens.enable_style": "no", "proselens.allowed_kinds": "case, wording", "other": "1"})
+    assert (policy.max_text, policy.enable_style, policy.allowed_kinds, policy.min_confidence) == (5, False, ("case", "wording"), 0.55)
+
+
+def test_long_runs_of_matches(spark):
+    import time
+
+    from pyspark.sql import functions as F
+
+    from proselens.functions.text import spans
+
+    df = spark.createDataFrame([("ab. " * 32_000,)], "t string")
+    began = time.time()
+    found = df.select(spans(F.col("t"), "[.]").alias("s")).select(F.size("s").alias("n"), F.element_at("s", -1)["start"].alias("last")).first()
+    assert (found.n, found.last) == (32_000, 4 * 32_000 - 2) and time.time() - began < 10
