@@ -44,10 +44,11 @@ def running(values: Column, block: int = 64) -> Column:
     return let(values, lambda v: F.when(F.size(v) > 0, let(blocks(v), joined)).otherwise(none))
 
 
-def spans(text: Column, pattern: str) -> Column:
+def spans(text: Column, pattern: str, hint: str | None = None) -> Column:
     """All matches, leftmost and without overlap, as array<struct<start, end, match>>.
 
-    The text is split at the matches; a match ends where the pieces and matches up to it end.
+    The text is split at the matches; a match ends where the pieces and matches up to it end.  ``hint`` is a pattern that
+    is found sooner and without which there is no match.
     """
     matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     none = F.array().cast(f"array<{SPAN}>")
@@ -57,7 +58,7 @@ def spans(text: Column, pattern: str) -> Column:
         ends = running(F.zip_with(gaps, m, lambda g, x: F.length(g) + F.length(x)))
         return F.zip_with(ends, m, lambda e, x: F.struct((e - F.length(x)).alias("start"), e.alias("end"), x.alias("match")))
 
-    return F.when(text.rlike(pattern), let(matches, placed)).otherwise(none)
+    return F.when(text.rlike(hint or pattern), let(matches, placed)).otherwise(none)
 
 
 def slice_of(text: Column, start: Column, end: Column) -> Column:

@@ -24,7 +24,7 @@ MISSPELLINGS = {
     "occurance": "occurrence",
 }
 
-_LINE_START = "(?<![^\\n\\r\\u2028\\u2029])"
+_LINE_START = "\\A|[\\n\\r\\u2028\\u2029]"
 
 
 def _spelled(match: Column) -> Column:
@@ -34,7 +34,8 @@ def _spelled(match: Column) -> Column:
 
 @dataclass(frozen=True)
 class Rule:
-    """One rule; ``cut_left``/``cut_right``: how much of the match's ends is outside of the span (None: all but one)."""
+    """One rule; ``cut_left``/``cut_right``: how much of the match's ends is outside of the span (None: all but one);
+    ``hint``: see ``spans``."""
 
     number: int
     name: str
@@ -46,6 +47,7 @@ class Rule:
     message: Callable[[Column], Column]
     cut_left: int | None = 0
     cut_right: int = 0
+    hint: str | None = None
 
 
 def _say(text: str) -> Callable[[Column], Column]:
@@ -65,7 +67,7 @@ RULES = [
     Rule(6, "capitalize", "Capitalize sentence", "style", "info", f"(?:{_LINE_START}|[.!?][{SPACE}]+)[a-z]", lambda m: F.upper(F.right(m, F.lit(1))), _say("Begin the sentence with a capital letter."), cut_left=None),
     Rule(7, "repeated_punct", "Reduce punctuation", "punctuation", "info", "([.!?])\\1+", lambda m: F.substring(m, 1, 1), _say("One mark is enough.")),
     Rule(8, "colon_space", "Normalize colon spacing", "spacing", "info", f":[{SPACE}]{{2,}}", _put(" "), _say("One space after a colon is enough."), cut_left=1),
-    Rule(9, "em_dash", "Use an em dash", "style", "info", f"[^{SPACE}][{SPACE}]-[{SPACE}][^{SPACE}]", lambda m: F.concat(F.substring(m, 1, 1), F.lit("—"), F.right(m, F.lit(1))), _say("A dash is meant here: use an em dash."), cut_left=1),
+    Rule(9, "em_dash", "Use an em dash", "style", "info", f"[^{SPACE}][{SPACE}]-[{SPACE}][^{SPACE}]", lambda m: F.concat(F.substring(m, 1, 1), F.lit("—"), F.right(m, F.lit(1))), _say("A dash is meant here: use an em dash."), cut_left=1, hint=f"-[{SPACE}]"),
     Rule(10, "ellipsis", "Use ellipsis character", "style", "info", "\\.\\.\\.", _put("…"), _say("Three dots have a character of their own.")),
     Rule(11, "misspelling", "Spelling", "spelling", "warn", f"(?i)(?<![{WORD}])(?:{'|'.join(MISSPELLINGS)})(?![{WORD}])", _spelled, lambda m: F.concat(F.lit("\""), m, F.lit("\" is spelled \""), _spelled(m), F.lit("\"."))),
 ]
@@ -96,7 +98,7 @@ def rule_rows(text: Column, r: Rule) -> Column:
         start, end = s["start"] + left, s["end"] - r.cut_right
         return _row(r, start, end, F.substring(s["match"], left + 1, end - start), r.replacement(s["match"]), r.message(s["match"]))
 
-    return F.transform(spans(text, r.pattern), row)
+    return F.transform(spans(text, r.pattern, r.hint), row)
 
 
 def local_rows(text: Column) -> Column:
