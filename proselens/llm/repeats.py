@@ -1,23 +1,28 @@
-"""Removal of long repeats: byte strings of ``LENGTH`` bytes that also start anywhere else, by names at growing lengths.
+"""Removal of long repeats: byte strings of ``LENGTH`` bytes that also start anywhere else, by prefix doubling over the
+positions that may still repeat.
 
-Prefix doubling gives each position a rank by its first k bytes, then sorts pairs of ranks k apart, and drops positions
-that are unique.  Here ranks are names (hashes) that depend on the bytes alone, so that no total order of all positions
-is needed, and the first round looks at few positions:
+Prefix doubling gives each position a rank by its first k bytes, sorts pairs of ranks k apart for the ranks by 2 k bytes,
+and drops positions whose rank is unique, until the length is reached.  Over all positions of a corpus that is several
+sorts of many times its size, so two rounds go before that leave few of them:
 
-1. Names of ``SEED`` bytes.  Of the positions in each window of LENGTH bytes, the one whose SEED-byte string has the
-   smallest hash is the window's anchor, leftmost among equals; equal windows have equal anchors at equal offsets.  About
-   one position in (LENGTH - SEED) / 2 is an anchor.  Anchors of unique name are dropped, and with them all their windows.
+1. Names of ``SEED`` bytes, as ranks by the first bytes.  Of the positions in each window of LENGTH bytes, the one whose
+   SEED-byte string has the smallest hash is the window's anchor, leftmost among equals; equal windows have equal anchors
+   at equal offsets.  About one position in (LENGTH - SEED) / 2 is an anchor.  Anchors of unique name are dropped, and
+   with them all their windows.
 2. Names of whole runs.  The windows of one anchor are a run, and the run's bytes have a name too: runs of equal names
    have all their windows in common.  Only runs that are alone with their name, under an anchor name that others share,
    stay open.
-3. Names of LENGTH bytes.  Open runs, and one run of each name that they could share a part with, are compared window
-   by window within their anchor's name.
+3. Doubling.  Spark brings open runs, and one run of each name that they could share a part with, together by their
+   anchor's name.  There the positions are ranked by SEED bytes, then by sorted pairs of ranks 2, 4, ... times as far
+   (the last step reaches LENGTH exactly); after each step positions of unique rank are dropped, and with them the
+   windows that need them.  Windows that are left have a second start.
 
-Every name is compared within the name before it, so that two strings count as equal on 128 bits of hash.  Then the
-covered bytes are removed document by document.
+Names are 64 bits wide; two different strings count as equal only if the names of their runs, or of the SEED-byte strings
+that they consist of, agree by chance: with n strings that meet, that has a probability of n * n / 2 ** 65.  Ranks from
+there on are exact.  Then the covered bytes are removed document by document.
 
 Hot strings: runs are counted before the shuffle; an anchor name with more than ``GROUP`` open runs is dealt over
-several tasks by the window's name.  Documents longer than ``PIECE`` bytes are read in overlapping pieces.
+several tasks by names of whole windows.  Documents longer than ``PIECE`` bytes are read in overlapping pieces.
 
 Defined cases: a null text counts as empty; texts under LENGTH bytes lose nothing; matches never cross documents; rows
 that repeat id and text are documents of their own, so each loses what the others have; other columns are not looked
@@ -35,7 +40,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import wordscan
-from .common import cut, table
+from .common import cut, drop, table
 
 LENGTH = 200
 SEED = 40
@@ -118,6 +123,43 @@ def _all_runs(docs: DataFrame, length: int, seed: int) -> DataFrame:
     return docs.mapInArrow(work, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, t bigint, first int, n smallint, off smallint, name bigint, run bigint")
 
 
+def ranked(values: np.ndarray) -> np.ndarray:
+    """Ranks of values by sorting, from 1 on; 0 for those that are alone."""
+    _, rank, seen = np.unique(values, return_inverse=True, return_counts=True)
+    return np.where(seen[rank] > 1, rank + 1, 0).astype(np.uint64)
+
+
+def steps(length: int, seed: int) -> list[tuple[int, int, list[int]]]:
+    """(length before, distance of the pair, where in a window the ranks after it are needed) of each step of doubling."""
+    sizes = [seed]
+    while sizes[-1] < length:
+        sizes.append(min(2 * sizes[-1], length))
+    needed = {length: [0]}
+    for k, after in zip(sizes[-2::-1], sizes[:0:-1], strict=True):
+        needed[k] = sorted({at + move for at in needed[after] for move in (0, after - k)})
+    return [(0, 0, needed[seed])] + [(k, after - k, needed[after]) for k, after in zip(sizes, sizes[1:], strict=False)]
+
+
+def doubled(flat: np.ndarray, windows: np.ndarray, length: int, seed: int) -> np.ndarray:
+    """Which of the windows (their first bytes in ``flat``) have an equal one among them, by prefix doubling."""
+    alive, rank = np.arange(len(windows)), np.zeros(0, np.uint64)
+    prefix = Prefix(flat)
+    for k, move, needed in steps(length, seed):
+        at = windows[alive]
+        due = np.zeros(len(flat), bool)
+        for n in needed:
+            due[at + n] = True
+        at_due = np.flatnonzero(due)
+        values = rank[at_due] << np.uint64(32) | rank[at_due + move] if k else prefix.name(at_due, at_due + seed)
+        rank = np.zeros(len(flat) + 1, np.uint64)
+        rank[at_due] = ranked(values)
+        for n in needed:
+            alive = alive[rank[windows[alive] + n] > 0]
+    out = np.zeros(len(windows), bool)
+    out[alive] = True
+    return out
+
+
 def _windows(t: pa.Table | pa.RecordBatch, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, offset, name within the anchor's name) of every window of runs given with their bytes."""
     flat, ends = wordscan.raw(t.column("bytes"))
@@ -128,16 +170,18 @@ def _windows(t: pa.Table | pa.RecordBatch, length: int) -> tuple[np.ndarray, np.
     return row, offset, wordscan.mix(Prefix(flat).name(at, at + length) ^ wordscan.mix(t.column("name").to_numpy().view(np.uint64))[row])
 
 
-def _compared(held: DataFrame, length: int, cell_rows: int) -> DataFrame:
+def _compared(held: DataFrame, length: int, seed: int, cell_rows: int) -> DataFrame:
     """(doc_id, t, low, high): what windows with a partner cover, of the open ones among runs of one task's anchor names."""
     cells = max(1, -(-held.count() // cell_rows))
     kind = held.schema["doc_id"].dataType.simpleString()
 
     def work(t: pa.Table) -> pa.Table:
         t = t.combine_chunks()
-        row, offset, name = _windows(t, length)
-        _, inverse, seen = np.unique(name, return_inverse=True, return_counts=True)
-        hit = (seen[inverse] > 1) & t["open"].to_numpy()[row]
+        flat, ends = wordscan.raw(t.column("bytes"))
+        count = t.column("n").to_numpy().astype(np.int64)
+        row = np.repeat(np.arange(len(count)), count)
+        offset = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+        hit = doubled(flat, ends[:-1][row] + offset, length, seed) & t["open"].to_numpy()[row]
         row, low = row[hit], t["first"].to_numpy().astype(np.int64)[row[hit]] + offset[hit]
         new = np.ones(len(row), bool)
         new[1:] = (row[1:] != row[:-1]) | (low[1:] != low[:-1] + 1)
@@ -168,12 +212,14 @@ def _compared_apart(held: DataFrame, length: int) -> DataFrame:
 
 def repeated(docs: DataFrame, length: int = LENGTH, seed: int = SEED, group: int = GROUP, cell_rows: int = 2_000) -> DataFrame:
     """Spans (doc_id, t, low, high) of bytes of ``docs`` (doc_id, t, text) that strings of ``length`` with a second start cover."""
-    every = _all_runs(docs, length, seed).withColumn("own", F.xxhash64("doc_id", "t", "first"))
+    made = cut(_all_runs(docs, length, seed), "every")
+    every = made.withColumn("own", F.xxhash64("doc_id", "t", "first"))
     classes = every.groupBy("name", "run").agg(F.count("*").alias("alike"), F.min("own").alias("one"))
     names = classes.groupBy("name").agg(F.sum("alike").alias("all"), F.count("*").alias("kinds"), F.count_if(F.col("alike") == 1).alias("singles")).where("all > 1")
     known = classes.join(names, "name").where("alike > 1 or kinds > 1")
     found = every.join(known, ["name", "run"]).select("doc_id", "t", "first", "n", "off", "name", (F.col("alike") == 1).alias("open"), ((F.col("alike") > 1) & (F.col("singles") > 0) & (F.col("own") == F.col("one"))).alias("partner"), (F.col("kinds") > group).alias("many"))
     found = cut(found, "runs")
+    drop(made)
     shared = found.where("not open").select("doc_id", "t", F.col("first").alias("low"), (F.col("first") + F.col("n") - 1 + length).cast("int").alias("high"))
     lists = found.where("open or partner").groupBy(F.col("doc_id").alias("l_id"), F.col("t").alias("l_t")).agg(F.collect_set(F.struct("first", "n", "name", "open", "many")).alias("runs"))
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -194,8 +240,10 @@ def repeated(docs: DataFrame, length: int = LENGTH, seed: int = SEED, group: int
 
     joined = docs.join(lists, (F.col("t") == F.col("l_t")) & F.col("doc_id").eqNullSafe(F.col("l_id"))).select("doc_id", "t", "text", "runs")
     held = cut(joined.mapInArrow(bytes_of, f"doc_id {kind}, t bigint, first int, n smallint, name bigint, open boolean, many boolean, bytes binary"), "open")
-    parts = _compared(held.where("not many"), length, cell_rows).unionByName(_compared_apart(held.where("many"), length))
-    return cut(shared.unionByName(parts), "spans")
+    parts = _compared(held.where("not many"), length, seed, cell_rows).unionByName(_compared_apart(held.where("many"), length))
+    spans = cut(shared.unionByName(parts), "spans")
+    drop(held), drop(found)
+    return spans
 
 
 def removed(docs: DataFrame, length: int = LENGTH, seed: int = SEED, keep_text: bool = False) -> DataFrame:
