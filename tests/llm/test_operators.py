@@ -409,9 +409,25 @@ def test_repeats(spark, odd, empty):
         assert sorted(got, key=repr) == sorted(want, key=repr)
         assert spans == repeats.GROUP
     assert {r.doc_id: r.n_removed for r in repeats.removed(odd.where("doc_id = 9")).collect()} == {9: 300_000}
+    part = story(77, 200)[:700]
+    at = repeats.PIECE - 350  # over the end of the first piece of a text of more than 4 MB
+    noise = "".join(random.Random(8).choices("abcdefghijklmnopqrstuvwxyz", k=repeats.PIECE + 5000))
+    long = spark.createDataFrame([(1, noise[:at] + part + noise[at:]), (2, f"short {part} end")], "doc_id long, text string")
+    got = {r.doc_id: (r.n_removed, r.n_spans) for r in repeats.removed(long).collect()}
+    assert got == {1: (700, 1), 2: (700, 1)}
     assert repeats.removed(empty).count() == 0
 
 
+def test_doubling():
+    rng = np.random.default_rng(2)
+    for length, seed in ((200, 40), (50, 10), (33, 8), (16, 16)):
+        base = rng.integers(0, 2, 3000).astype(np.uint8)
+        flat = np.concatenate([base, base[100:400], rng.integers(0, 2, 500).astype(np.uint8), base[1000 : 1000 + length - 1], base[2000 : 2000 + length]])
+        at = rng.permutation(len(flat) - length + 1)[:2500]
+        seen = Counter(flat[i : i + length].tobytes() for i in at.tolist())
+        assert repeats.doubled(flat, at, length, seed).tolist() == [seen[flat[i : i + length].tobytes()] > 1 for i in at.tolist()]
+
+
 def test_licenses(spark, odd, empty):
     got = {r.doc_id: r for r in licenses.scan(odd, ["doc_id"]).collect() if r.doc_id is not None}
     assert (got[7].n_words, got[7].n_base, got[7].first_word, got[7].last_word, got[7].base) == (7, 3, 0, 5, ["cc-by", "reserved"])
