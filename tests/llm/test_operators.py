@@ -298,6 +298,13 @@ def test_pieces(spark, odd, empty):
     assert pieces.tokens(empty).count() == 0
 
 
+def test_a_model_of_another_kind_is_refused(monkeypatch):
+    """A vocabulary whose library merges in another way than the agenda does."""
+    monkeypatch.setattr(pieces.Pieces, "merge", lambda self, word: [self.id.get(c, self.unknown) for c in word])
+    with pytest.raises(ValueError, match="no plain merge-type model"):
+        pieces.Pieces(pieces.model_path())
+
+
 PAGE = """<html><head><title>t</title><script>"</p>"</script></head><body><header>Top</header><nav><a>Menu</a></nav>
 <div class="post"><h1>Title %d</h1><p>Body &amp; <b>text</b> %d<br>more<p>Second %d</div><div class="legal">Same on all pages</div>
 <section id="comments">Nice!</section><form>Name</form><footer>&copy; us</footer></body>"""
@@ -455,6 +462,100 @@ def test_licenses_brute(spark):
     assert time.time() - began < 15
 
 
+def plain_ftrl(rows, s):
+    """FTRL-proximal one coordinate at a time."""
+    import math
+
+    z, n = {}, {}
+
+    def weight(k, l1):
+        zk = z.get(k, 0.0)
+        return 0.0 if abs(zk) <= l1 else (math.copysign(l1, zk) - zk) / ((s.beta + math.sqrt(n.get(k, 0.0))) / s.alpha + (s.l2 if k >= 0 else 0.0))
+
+    for _ in range(s.epochs):
+        for at, label in rows:
+            w = {k: weight(k, s.l1 if k >= 0 else 0.0) for k in (-1, *at)}
+            g = (1 / (1 + math.exp(-min(35.0, max(-35.0, sum(w.values()))))) - label) * (s.positive_weight if label else 1.0)
+            for k in w:
+                z[k] = z.get(k, 0.0) + g - (math.sqrt(n.get(k, 0.0) + g * g) - math.sqrt(n.get(k, 0.0))) / s.alpha * w[k]
+                n[k] = n.get(k, 0.0) + g * g
+    return {k: weight(k, s.l1 if k >= 0 else 0.0) for k in z}
+
+
+def sets_of(texts, bits=20):
+    import pyarrow as pa
+
+    from proselens.llm import wordscan
+
+    out = []
+    for t in texts:
+        _, at = toxicity.coordinates(wordscan.scan(pa.array([t or ""])), bits)
+        out.append(sorted(set(at.tolist())))
+    return out
+
+
+def test_ftrl():
+    rng = random.Random(6)
+    rows = [(sorted(rng.sample(range(60), rng.randint(0, 9)) + [100 + i % 2]), i % 2) for i in range(80)]
+    for s in (toxicity.Settings(l1=0.3), toxicity.Settings(l1=2.0, epochs=2, positive_weight=1.0)):
+        intercept, at, weights = toxicity.ftrl([(np.array(a, np.int32), label) for a, label in rows], s)
+        want = plain_ftrl(rows, s)
+        assert abs(intercept - want[-1]) < 1e-9
+        assert {k: w for k, w in want.items() if k >= 0 and w} == pytest.approx(dict(zip(at.tolist(), weights.tolist())))
+
+
+def test_pipeline_end_to_end(spark):
+    """All five stages written out plainly over a whole table."""
+    import math
+    import zlib
+
+    import corpus_pipeline
+    import sentencepiece
+
+    from proselens.llm import wordscan
+
+    sf = "/root/testdata/sf0.001"
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").orderBy("doc_id").collect()]
+    labels = {}
+    for r in spark.read.parquet(f"{sf}/labels.parquet").collect():
+        if r.toxic in (0, 1) and zlib.crc32(str(r.doc_id).encode()) % 5:
+            labels[r.doc_id] = max(labels.get(r.doc_id, 0), r.toxic)
+    s = toxicity.Settings()
+    known = sorted(((wordscan.mix(np.array([hash(i) & (2**64 - 1)], np.uint64))[0], i, t) for i, t in docs if i in labels), key=lambda x: x[:2])
+    weights = plain_ftrl(list(zip(sets_of(t for _, _, t in known), (labels[i] for _, i, _ in known))), s)
+    docs = [(i, t) for (i, t), at in zip(docs, sets_of(t for _, t in docs)) if 1 / (1 + math.exp(-sum(weights.get(k, 0.0) for k in (-1, *at)))) < 0.5]
+    seen, by_length, left = set(), {}, []
+    for i, t in docs:
+        kept = []
+        for line in (t or "").split("\n"):
+            w = tuple(line.split())
+            if not w or not (w in seen or any(near_lines(w, x, line_dedup.MIN_WORDS) for n in (-1, 0, 1) for x in by_length.get(len(w) + n, ()))):
+                kept.append(line)
+            if w and w not in seen:
+                seen.add(w)
+                by_length.setdefault(len(w), []).append(w)
+        if any(x.split() for x in kept) or not (t or "").split():
+            left.append((i, "\n".join(kept)))
+    sets, up = [shingles(t) for _, t in left], list(range(len(left)))
+
+    def root(k):
+        while up[k] != k:
+            k = up[k]
+        return k
+
+    for a in range(len(left)):
+        for b in range(a):
+            if sets[a] and sets[b] and len(sets[a].keys() & sets[b].keys()) * 2 > min(len(sets[a]), len(sets[b])) and similarity(sets[a], sets[b]) >= 0.8 or not sets[a] and not sets[b] and left[a][1] == left[b][1]:
+                up[max(root(a), root(b))] = min(root(a), root(b))
+    left = [x for k, x in enumerate(left) if root(k) == k]
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+    hit = {i for i, _, h, _ in brute_decontamination(left, items) if h}
+    lib = sentencepiece.SentencePieceProcessor(model_file=pieces.model_path())
+    want = {i: (t, lib.encode(t)) for i, t in left if i not in hit}
+    got = {r.doc_id: (r.text or "", r.ids) for r in corpus_pipeline.run(spark, sf).collect()}
+    assert got == want
+
+
 STAGE_SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, gone array<int>, k string, _one string, n_lines long"
 
 
