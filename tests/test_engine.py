@@ -137,7 +137,7 @@ def test_model_rows(spark):
     raw = spark.createDataFrame([(1, 0, 0, 0, RAW), (1, 1, 0, 0, "nonsense"), (2, 0, 0, 0, '{"suggestions": {}}')], "doc_id long, chunk_id int, chunk_start int, prefix_len int, raw string")
     found = model_rows.accepted(raw, docs).orderBy("item").collect()
     assert [(r.item, r.start, r.end, r.category, r.severity, r.confidence) for r in found] == [(0, 2, 9, "spelling", "info", 0.9), (3, 10, 13, "other", "info", None)]
-    assert {r.stage: r.n for r in model_rows.stages(raw, docs).collect()} == {"parsed": 6, "with_range": 4, "after_prefix": 4, "kept": 2}
+    assert {r.stage: r.n for r in model_rows.stages(raw, docs).collect()} == {"parsed": 6, "with_range": 4, "after_prefix": 4, "in_place": 4, "found": 4, "kept": 2}
     both = analyse(docs, raw).where("source = 'ai'").collect()
     assert [(r.start, r.title) for r in both] == [(10, "Suggestion")]  # the other one overlaps a local row
     made = model_rows.call(docs.select("doc_id", F.lit("p").alias("prompt")), lambda p: p * 2).collect()
