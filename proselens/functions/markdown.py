@@ -1,8 +1,9 @@
 """Where a Markdown text is prose and where it must not be touched.
 
 A line scanner for the common block forms (fences, indented code, HTML blocks, tables, headings, quotes, lists,
-paragraphs) and for code spans, inline HTML and autolinks within prose.  Not covered: reference definitions, footnotes, and
-nesting of several containers in one line beyond quotes and list marks.
+paragraphs, reference definitions, footnotes) and for code spans, inline HTML and autolinks within prose.  Definitions are
+neither prose nor forbidden; the text of a footnote is prose.  Not covered: definitions of several lines, and nesting of
+several containers in one line beyond quotes, list marks and footnotes.
 """
 
 from __future__ import annotations
@@ -25,6 +26,8 @@ UNDERLINE = re.compile(r" {0,3}(?:=+|-+)[ \t]*$")
 RULE = re.compile(r" {0,3}([-*_])(?:[ \t]*\1){2,}[ \t]*$")
 QUOTE = re.compile(r" {0,3}> ?")
 MARK = re.compile(r" {0,3}(?:[-*+]|\d{1,9}[.)])(?:[ \t]+|$)")
+DEFINITION = re.compile(r" {0,3}\[(?!\^)(?:[^\[\]\\]|\\.)+\]:[ \t]*(?:<[^<>]*>|[^\s<]\S*)(?:[ \t]+(?:\"[^\"]*\"|'[^']*'|\([^()]*\)))?[ \t]*$")
+FOOTNOTE = re.compile(r" {0,3}\[\^[^\]\s]+\]:[ \t]*")
 DELIMITER = re.compile(r"[ \t]*\|?[ \t]*:?-+:?[ \t]*(?:\|[ \t]*:?-+:?[ \t]*)*\|?[ \t]*$")
 RAW_HTML = re.compile(r" {0,3}<(script|pre|style|textarea)(?:[\s>]|$)", re.IGNORECASE)
 # Elements that begin an HTML block.
@@ -33,7 +36,7 @@ HTML = re.compile(rf" {{0,3}}(?:</?(?:{BLOCK_TAGS})(?:[\s/>]|$)|<!--|<\?|<![A-Za
 INLINE = re.compile(r"(?P<ticks>`+)|<!--.*?-->|<[A-Za-z][A-Za-z0-9+.\-]{1,31}:[^\s<>]*>|<[\w.+\-]+@[\w.\-]+>|</?[A-Za-z][^<>]*>", re.DOTALL)
 
 #: A text that matches may hold Markdown; one that does not is read natively.
-SYNTAX = r"(?m)[`<|\\]|^(?: {4}|\t| {0,3}(?:#|>|~~~|[-*+_=]|[0-9]{1,9}[.)]))"
+SYNTAX = r"(?m)[`<|\\]|^(?: {4}|\t| {0,3}(?:#|>|~~~|[-*+_=]|[0-9]{1,9}[.)]|\[[^\]]+\]:))"
 
 
 def scan(text: str) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
@@ -74,7 +77,7 @@ def scan(text: str) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
         """Offset and rest of a line after quote and list marks; whether a list mark was there."""
         start, line = lines[i]
         marked = False
-        while m := QUOTE.match(line) or (None if RULE.match(line) else MARK.match(line)):
+        while m := QUOTE.match(line) or FOOTNOTE.match(line) or (None if RULE.match(line) else MARK.match(line)):
             marked = marked or "> " not in m[0] + " " or not m[0].strip().startswith(">")
             start, line = start + m.end(), line[m.end() :]
             if not line:
@@ -119,6 +122,8 @@ def scan(text: str) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
         elif RULE.match(line):
             close()
             i += 1
+        elif not paragraph and DEFINITION.match(line):
+            i += 1
         elif (m := RAW_HTML.match(line)) or HTML.match(line):
             close()
             j = i

@@ -378,10 +378,17 @@ def q_debounce_sessions(spark, sf_dir):
     return found.select("user_id", F.unix_micros("start").alias("start_us"), F.unix_micros("end").alias("end_us"), "n")
 
 
-@query("q_markdown_ranges")
+_MARKED = "concat('# ', text, chr(10), chr(10), '[ref]: http://ex.org/a', chr(10), chr(10), '```', chr(10), text, chr(10), '```')"
+
+
+@query("q_markdown_ranges", """with d as (select doc_id, length(text) as n, case when contains(text, chr(10)) then position(chr(10) in text) - 1 else length(text) end as l from documents)
+    select doc_id, 'prose' as kind, 0::bigint as "start", (l + 2)::bigint as "end" from d union all select doc_id, 'prose', l + 3, n + 2 from d where l < n
+    union all select doc_id, 'forbidden', n + 11, n + 26 from d union all select doc_id, 'forbidden', n + 28, 2 * n + 36 from d""")
 def q_markdown_ranges(spark, sf_dir):
-    d = docs(spark, sf_dir, "concat('# ', text, chr(10), chr(10), '```', chr(10), text, chr(10), '```')")
-    return with_structure(d).select("doc_id", F.size("prose").cast("long").alias("prose"), F.size("forbidden").cast("long").alias("forbidden"))
+    """Each text as a heading with a paragraph, a definition, and the text again as code."""
+    d = with_structure(docs(spark, sf_dir, _MARKED))
+    both = [d.select("doc_id", F.lit(kind).alias("kind"), F.inline(kind)) for kind in ("prose", "forbidden")]
+    return both[0].unionByName(both[1]).select("doc_id", "kind", *long("start", "end"))
 
 
 @query("q_chunks")

@@ -164,3 +164,12 @@ def test_long_runs_of_matches(spark):
     began = time.time()
     found = df.select(spans(F.col("t"), "[.]").alias("s")).select(F.size("s").alias("n"), F.element_at("s", -1)["start"].alias("last")).first()
     assert (found.n, found.last) == (32_000, 4 * 32_000 - 2) and time.time() - began < 10
+
+
+def test_definitions_and_footnotes():
+    from proselens.functions.markdown import scan
+
+    text = "Some prose.\n\n[one]: http://a.org/x 'Title'\n[two]: <b c>\n\n[^1]: A note, `code` in it.\n\nnot [a]: definition\n[b]: in a paragraph"
+    prose, forbidden = scan(text)
+    assert [text[a:b] for a, b in prose] == ["Some prose.", "A note, `code` in it.", "not [a]: definition\n[b]: in a paragraph"]
+    assert [text[a:b] for a, b in forbidden] == ["`code`"]
