@@ -591,3 +591,27 @@ def test_pipeline(spark):
     assert 0 < len(ids) == len(set(ids)) <= docs.count()
     found = decontamination.find(out, spark.read.parquet(f"{sf}/benchmark.parquet"))
     assert found.where("size(hits) > 0").count() == 0
+
+
+def test_contradicting_labels(spark):
+    """Of contradicting labels of one document 1 counts, and rows that repeat a document count once."""
+    docs = spark.createDataFrame([(i, story(i, 30) + (" vile" if i % 3 == 0 else "")) for i in range(60)], "doc_id long, text string")
+    plain = [(i, int(i % 3 == 0)) for i in range(60)]
+    s = toxicity.Settings(l1=0.5)
+    one, other = (toxicity.train(d, spark.createDataFrame(rows, "doc_id long, toxic int"), s) for d, rows in ((docs, plain), (docs.unionByName(docs), [*plain, *((i, 0) for i in range(60)), (3, None), (4, 7)])))
+    assert one.intercept == other.intercept and one.index.tolist() == other.index.tolist() and one.weight.tolist() == other.weight.tolist() and len(one.index)
+
+
+def test_shared_folder_and_names(spark):
+    from types import SimpleNamespace
+
+    from proselens.llm import common
+
+    class Unset:
+        def get(self, name, default=None):
+            return default
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        common.shared_dir(SimpleNamespace(conf=Unset(), sparkContext=SimpleNamespace(master="yarn")))
+    assert common.shared_dir(spark) == spark.conf.get("spark.checkpoint.dir").rstrip("/")
+    assert common.fresh(spark.createDataFrame([(1, 2)], "k int, _K int"), "k", "k", "own") == ["__k", "___k", "own"]
