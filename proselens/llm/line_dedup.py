@@ -13,9 +13,9 @@ by line number, and also a line that goes itself counts.  Lines without words st
 3. Neighbourhood: within the block that a shared key leaves open, a line emits the hashed key of every variant with
    one word deleted, and of the gaps where another line may have a word more: a key is the hash of what stands before
    the place and of what stands after it.  Hashes of runs of words are reused, so that a line of n words costs about
-   n * (n / BLOCK + BLOCK), not n * n.  Lines of one key are all within one edit of each other, so each is linked to
-   the earliest of them, not to all.
-4. Verification: of each link, the words of both lines before the place and after it are compared.
+   n * (n / BLOCK + BLOCK), not n * n.  Lines of one key are all within one edit of each other, so each is compared
+   with the earliest of them, not with all; how many lines it is linked to follows from the counts of each key.
+4. Verification: of a line and the earliest of a key, the words before the place and after it are compared.
 5. What remains of each document is put together again.
 
 No step takes all rows of one key: counts and minima are aggregated before the shuffle, the most common lines (those
@@ -93,7 +93,11 @@ def _occurrences(docs: DataFrame) -> DataFrame:
 
 
 def _variants(w: Column, n: Column, first: Column, last: Column) -> Column:
-    """Keys for the places first to last of a line: (key, place, 1) with the word there deleted, (key, place, 0) with none."""
+    """Keys for the places first to last of a line: (key, place, gone) with the word there deleted, (key, place, 0) with none.
+
+    gone is 1, or 2 where the word before is the same: deleting either leaves the same words, and a line that has one
+    of them less meets this one in both keys, so that only the first is counted as a link.
+    """
     blocks = F.floor(n / BLOCK).cast("int")
 
     def made(k: Column, at) -> Column:
@@ -115,7 +119,7 @@ def _variants(w: Column, n: Column, first: Column, last: Column) -> Column:
 
         def at(i: Column) -> Column:
             gap = F.struct(F.xxhash64(before(i), after(n - i)).alias("key"), i.alias("place"), F.lit(0).alias("gone"))
-            gone = F.struct(F.xxhash64(before(i), after(F.greatest(n - i - 1, F.lit(0)))).alias("key"), i.alias("place"), F.lit(1).alias("gone"))
+            gone = F.struct(F.xxhash64(before(i), after(F.greatest(n - i - 1, F.lit(0)))).alias("key"), i.alias("place"), F.when(F.get(w, i) == F.get(w, i - 1), 2).otherwise(1).alias("gone"))
             return F.when(i < n, F.array(gap, gone)).otherwise(F.array(gap))
 
         return F.flatten(F.transform(F.sequence(first, last), at))
@@ -124,7 +128,7 @@ def _variants(w: Column, n: Column, first: Column, last: Column) -> Column:
 
 
 def _near(docs: DataFrame, distinct: DataFrame, min_words: int) -> DataFrame:
-    """(h, g, links): distinct lines that have an earlier line within one edit, and to how many of them they are linked."""
+    """(h, g, links, near): distinct lines, how many others are within one edit, and whether one of these is earlier."""
     n = F.col("n")
     opened = []
     for i in range(8):
@@ -154,17 +158,22 @@ def _near(docs: DataFrame, distinct: DataFrame, min_words: int) -> DataFrame:
     met = cut(variants.join(several.hint("shuffle_hash"), "key"), "members")
     drop(variants)
     members = met.join(lines.select("h", "g", F.col("place").alias("at")), ["h", "g"])
-    earliest = members.groupBy("key").agg(F.min(F.struct("at", "h", "g", "gone")).alias("e"))
-    links = members.join(earliest, "key").where("e.h <> h").select("h", "g", F.col("e.h").alias("eh"), F.col("e.g").alias("eg"), "place", "gone", F.col("e.gone").alias("e_gone")).dropDuplicates(["h", "g", "eh", "eg"])
+    gone = F.col("gone")
+    counts = members.groupBy("key").agg(F.min(F.struct("at", "h", "g", "gone")).alias("e"), F.count_if(gone > 0).alias("n_gone"), F.count_if(gone == 1).alias("n_first"), F.count_if(gone == 0).alias("n_gap"))
+    links = F.when(gone == 0, F.col("n_first")).otherwise(F.col("n_gone") - 1 + F.when(gone == 1, F.col("n_gap")).otherwise(0))
+    to = F.struct(F.col("e.h").alias("eh"), F.col("e.g").alias("eg"), "place", "gone", F.col("e.gone").alias("e_gone"))
+    linked = cut(members.join(counts, "key").groupBy("h", "g").agg(F.sum(links).alias("links"), F.collect_set(F.when(F.col("e.h") != F.col("h"), to)).alias("to")), "linked")
+    drop(met)
+    pairs = linked.select("h", "g", F.inline("to"))
     mine, other = lines.select("h", "g", "w"), lines.select(F.col("h").alias("eh"), F.col("g").alias("eg"), F.col("w").alias("ew"))
 
     def rest(w: Column, gone: Column) -> Column:
-        return F.slice(w, F.col("place") + 1 + gone, F.size(w))
+        return F.slice(w, F.col("place") + 1 + F.least(gone, F.lit(1)), F.size(w))
 
     same = (F.slice("w", 1, F.col("place")) == F.slice("ew", 1, F.col("place"))) & (rest(F.col("w"), F.col("gone")) == rest(F.col("ew"), F.col("e_gone")))
-    verified = links.join(mine, ["h", "g"]).join(other, ["eh", "eg"]).where(same)
-    out = cut(verified.groupBy("h", "g").agg(F.countDistinct("eh", "eg").alias("links")), "links")
-    drop(met), drop(lines)
+    near = pairs.join(mine, ["h", "g"]).join(other, ["eh", "eg"]).where(same).select("h", "g", F.lit(True).alias("near")).distinct()
+    out = cut(linked.select("h", "g", "links").join(near, ["h", "g"], "left").select("h", "g", "links", F.coalesce("near", F.lit(False)).alias("near")), "links")
+    drop(linked), drop(lines)
     return out
 
 
@@ -175,7 +184,7 @@ def _counted(docs: DataFrame, min_words: int) -> tuple[DataFrame, list[str]]:
     placed = every.withColumn("place", _order(F.col("doc_id"), F.col("t"), F.col("line_no"))).drop("doc_id", "t", "line_no")
     distinct = cut(placed.groupBy("h", "g").agg(F.min("place").alias("place"), F.count("*").alias("times"), *(F.max(c).alias(c) for c in ("n", *(f"k{i}" for i in range(8))))), "distinct")
     near = _near(filled, distinct, min_words)
-    judged = distinct.select("h", "g", F.col("place").alias("first"), "times").join(near, ["h", "g"], "left").where("links is not null or times > 1")
+    judged = distinct.select("h", "g", F.col("place").alias("first"), "times").join(near, ["h", "g"], "left").where("near or links > 0 or times > 1")
     judged = cut(judged, "judged")
     drop(distinct)
     common = F.col("times") > max(1, every.count() // HOT)
@@ -184,13 +193,18 @@ def _counted(docs: DataFrame, min_words: int) -> tuple[DataFrame, list[str]]:
     met = found.join(hot, ["h", "g"]).unionByName(found.join(hot, ["h", "g"], "left_anti").join(judged.where(~common).drop("times"), ["h", "g"]))
     again = _order(F.col("doc_id"), F.col("t"), F.col("line_no")) != F.col("first")
     text_hash, g_id, g_t, gone, n_lines, n_kept, n_removed, n_near, n_links = fresh(docs, "t", "g_id", "g_t", "gone", "lines", "kept", "removed", "near", "links")
-    lost = (
-        met.where(F.col("links").isNotNull() | again)
-        .groupBy(F.col("doc_id").alias(g_id), F.col("t").alias(g_t))
-        .agg(F.collect_set("line_no").alias(gone), F.count_if(F.col("links").isNotNull() & ~again).alias(n_near), F.sum(F.when(~again, F.col("links")).otherwise(0)).alias(n_links))
+    near_first = F.col("near") & ~again
+    judgement = (
+        met.groupBy(F.col("doc_id").alias(g_id), F.col("t").alias(g_t))
+        .agg(  # sets, as rows that repeat id and text give each line as often
+            F.collect_set(F.when(F.col("near") | again, F.col("line_no"))).alias(gone),
+            F.collect_set(F.when(near_first, F.col("line_no"))).alias(n_near),
+            F.collect_set(F.when((F.col("links") > 0) & ~again, F.struct("line_no", "links"))).alias(n_links),
+        )
+        .withColumns({n_near: F.size(n_near), n_links: F.aggregate(n_links, F.lit(0).cast("long"), lambda total, x: total + x["links"])})
     )
-    rows = docs.withColumn(text_hash, F.xxhash64(F.coalesce("text", F.lit("")))).join(lost, (F.col(text_hash) == F.col(g_t)) & F.col("doc_id").eqNullSafe(F.col(g_id)), "left")
-    kept = F.when(F.col(gone).isNull(), F.col("text")).otherwise(F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains(gone, i)), "\n"))
+    rows = docs.withColumn(text_hash, F.xxhash64(F.coalesce("text", F.lit("")))).join(judgement, (F.col(text_hash) == F.col(g_t)) & F.col("doc_id").eqNullSafe(F.col(g_id)), "left")
+    kept = F.when(F.size(F.coalesce(gone, F.array().cast("array<int>"))) == 0, F.col("text")).otherwise(F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains(gone, i)), "\n"))
     with_words = F.size(F.filter(F.split("text", "\n"), lambda x: F.trim(x, F.lit(_SPACE)) != ""))
     lines = F.when(F.col("text").isNull(), F.lit(0)).otherwise(with_words).cast("long")
     removed = F.when(F.col(gone).isNull(), F.lit(0)).otherwise(F.size(gone)).cast("long")
@@ -202,8 +216,10 @@ def _counted(docs: DataFrame, min_words: int) -> tuple[DataFrame, list[str]]:
 def deduplicated(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """Every row of ``docs`` with its text less the lines that go, and n_lines, n_kept, n_removed, n_near, n_links.
 
-    n_lines counts lines with words, n_near those removed as near to an earlier line only, n_links the lines that these
-    are linked to: of all lines that share a variant, the earliest.
+    n_lines counts lines with words, n_near those removed as near to an earlier line only.  n_links is the links of the
+    lines that stand first in this row: for each, how many other lines, earlier or later, are within one edit of it (a
+    line that stands at several places counts once), so that the sum over all rows is twice the number of links.  Links
+    are counted by keys of 64 bits; that a line goes is always verified by its words.
     """
     found, made = _counted(docs, min_words)
     names = ["n_lines", "n_kept", "n_removed", "n_near", "n_links"]

@@ -232,6 +232,7 @@ def test_line_dedup(spark, odd, empty):
             lines.append(rng.choice(["", " "]) + rng.choice([" ", "  "]).join(w))
         texts.append("\n".join(lines))
     texts += ["\n".join(["a b c", "a b d", "a b", "x", "a b c d e f g", "a b c d e f g h", "a X c d e f g"]), "common line of words that stands in all texts"] * 2
+    texts += ["\n".join(["a a b c d e f g h", "a b c d e f g h", "a a a b c d e f g h", "x a b c d e f g h", "a b c d e f g h h", "a b c d e f g X h h", "a a b c d e f g Y"])]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     for least in (line_dedup.MIN_WORDS, 2):
         kept, seen = [], []
@@ -243,8 +244,16 @@ def test_line_dedup(spark, odd, empty):
                     out.append(line)
                 seen.append(w)
             kept.append("\n".join(out))
-        got = {r.doc_id: r.text for r in line_dedup.deduplicated(docs, least).collect()}
-        assert got == dict(enumerate(kept))
+        first = {}
+        for k, t in enumerate(texts):
+            for line in t.split("\n"):
+                first.setdefault(tuple(line.split()), k)
+        links = [0] * len(texts)
+        for a, k in first.items():
+            links[k] += sum(a != b and near_lines(list(a), list(b), least) for b in first if a and b)
+        found = line_dedup.deduplicated(docs, least).collect()
+        assert {r.doc_id: r.text for r in found} == dict(enumerate(kept))
+        assert {r.doc_id: r.n_links for r in found} == dict(enumerate(links)) and sum(links) > 0
     clash = docs.where("doc_id < 3").select("*", *(F.lit("mine").alias(c) for c in ("gone", "g_id", "_t", "t", "n_lines", "links")))
     assert {r.gone for r in line_dedup.deduplicated(clash).collect()} == {"mine"} and {r.n_lines for r in line_dedup.clean(clash).collect()} == {"mine"}
     nobody = spark.createDataFrame([(None, "one line of words\ntwo line of words"), (None, "two line of words"), (None, "two line of words"), (1, "two line of words\nthree")], "doc_id long, text string")
