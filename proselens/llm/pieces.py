@@ -9,9 +9,11 @@ break, between a letter and a mark.  This is looked up when the vocabulary is re
 between two cuts is kept in a bounded table, to be used again.
 
 Models that normalise texts, put no blank before them, have pieces of the user or are of another type are not for this
-agenda: a vocabulary is tried on texts that tell them apart when it is read, and refused if the library says otherwise.
-In each slice of an Arrow batch the first row and every ``CHECK_EVERY``-th after it are encoded by the sentencepiece
-library too; should its ids differ, the whole slice takes the library's.  Decoding is the library's ``decode``.
+agenda: a vocabulary is tried on texts that tell most of them apart when it is read, and refused if the library says
+otherwise.  After that no row goes unchecked: the symbols of every text are compared with the library's ``normalize``,
+and the agenda's ids of every word with the library's before they enter the table.  As no piece reaches across a cut,
+words that agree make whole texts that agree.  Should anything differ, the vocabulary is refused with an error; ids of
+the library never take the place of the agenda's.  Decoding is the library's ``decode``.
 
 Defined cases: a null text counts as empty and has no ids; texts of any length are encoded whole, in n log n steps
 for a single word of n symbols; repeated rows are encoded each; other columns are kept, but for those that are named as the results.
@@ -22,9 +24,10 @@ from __future__ import annotations
 import hashlib
 import heapq
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, repeat
+from operator import add
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -39,7 +42,6 @@ KEEP_WORDS = 150_000
 SHORT = 48
 NEVER = float("inf")
 LETTER = re.compile(r"[^\W\d_]")
-CHECK_EVERY = 64
 TRIED = ["", " ", "a", "  two  blanks ", "Ａ ﬁ ½ é e\u0301 \u00a0x\u3000y", "tab\tand\nline\r\n", "the theme of these 1234.5 things, isn't it?", "日本語 \U0001f44d\U0001f3fd \x00", "<s> </s> <unk> <0x0A>", "aaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaa", "▁x▁"]
 
 
@@ -58,33 +60,45 @@ class Pieces:
     def __init__(self, path: str):
         import sentencepiece
 
+        self.path = path
         self.library = lib = sentencepiece.SentencePieceProcessor(model_file=path)
         n = lib.get_piece_size()
         self.rank, self.id, self.bytes, self.unknown = {}, {}, [None] * 256, lib.unk_id()
+        unused = []
         for i in range(n):
             piece = lib.id_to_piece(i)
             if lib.is_byte(i):
                 self.bytes[int(piece[1:-1], 16)] = i
-            elif not (lib.is_control(i) or lib.is_unknown(i) or lib.is_unused(i)):
+            elif lib.is_unused(i):
+                unused.append(piece)
+            elif not (lib.is_control(i) or lib.is_unknown(i)):
                 self.id[piece] = i
                 self.rank[piece] = -lib.get_score(i)
         self.has_bytes = None not in self.bytes
-        self.cut = self.cutting()
+        self.cut = self.cutting([*self.id, *unused])
+        self.head = lib.encode("\n")
         self.kept: dict[str, tuple[int, ...]] = {}
         self.older: dict[str, tuple[int, ...]] = {}
         self.digits = [str(i) for i in range(n)]
         for text in TRIED:
             if self.encode(text)[0] != lib.encode(text):
-                raise ValueError(f"{path} is no plain merge-type model: the library encodes {text!r} in another way")
+                self.refuse(text)
 
-    def cutting(self) -> re.Pattern:
-        """Words that can be encoded alone: cuts stand only where no piece of the vocabulary reaches across."""
-        if any(re.search(f"[^{BLANK}]{BLANK}", p) or (len(p) > 1 and "\n" in p) for p in self.id):
+    def refuse(self, text: str) -> None:
+        raise ValueError(f"{self.path} is no plain merge-type model: the library encodes {text[:200]!r} in another way")
+
+    def cutting(self, pieces: list[str]) -> re.Pattern:
+        """Words that can be encoded alone: cuts stand only where no piece of the vocabulary reaches across.
+
+        Nor may unknown symbols, of which neighbouring ones are one piece: without byte pieces nothing is cut.
+        """
+        self.whole = not self.has_bytes or any(re.search(f"[^{BLANK}]{BLANK}", p) or (len(p) > 1 and "\n" in p) for p in pieces)
+        if self.whole:
             return re.compile(".+", re.DOTALL)
-        across = {p[i + 1] for p in self.id for i in range(len(p) - 1) if LETTER.match(p[i])}
+        across = {p[i + 1] for p in pieces for i in range(len(p) - 1) if LETTER.match(p[i])}
         marks = "".join(re.escape(c) for c in ",.;:!?\"'()-%$#*&" if c not in across)
         after_letters = f"{BLANK}*{LETTER.pattern}++(?=[{marks}])|" if marks else ""
-        return re.compile(f"{after_letters}{BLANK}*[^{BLANK}\n]+|{BLANK}+|\n")
+        return re.compile(f"{after_letters}{BLANK}*[^{BLANK}\n]++|{BLANK}+|\n")
 
     def merge(self, word: str) -> list[int]:
         """The ids of one word, by the agenda."""
@@ -94,7 +108,7 @@ class Pieces:
         """The merged symbols of a word of few symbols: the agenda is a list with the place of each pair."""
         rank = self.rank.get
         symbols = list(word)
-        agenda = [rank(a + b, NEVER) for a, b in zip(word, word[1:])]
+        agenda = list(map(rank, map(add, word, word[1:]), repeat(NEVER)))
         while agenda and (best := min(agenda)) < NEVER:
             i = agenda.index(best)
             joint = symbols[i] + symbols[i + 1]
@@ -149,26 +163,46 @@ class Pieces:
         """The ids of a text, and the same as decimal numbers with commas."""
         if not text:
             return [], ""
-        words = self.cut.findall(BLANK + text.replace(" ", BLANK))
+        spelled = BLANK + text.replace(" ", BLANK)
+        if self.library.normalize(text) != spelled:
+            self.refuse(text)
+        words = self.cut.findall(spelled)
         got = list(map(self.kept.get, words))
         if None in got:
-            for i, found in enumerate(got):
-                if found is None:
-                    got[i] = self.answer(words[i])
+            answers = self.answers(dict.fromkeys(w for w, found in zip(words, got) if found is None))
+            got = [answers[w] if found is None else found for w, found in zip(words, got)]
         ids = list(chain.from_iterable(got))
         return ids, ",".join(map(self.digits.__getitem__, ids))
 
-    def answer(self, word: str) -> tuple[int, ...]:
-        """The ids of a word not in the table of the latest ones; two tables take turns, so that memory is bounded."""
-        got = self.kept.get(word) or self.older.get(word)
-        if got is None:
-            got = tuple(self.merge(word))
-        if len(word) <= SHORT:
-            if len(self.kept) >= KEEP_WORDS:
-                self.kept, self.older = {}, self.kept
-            self.kept[word] = got
+    def answers(self, words: Iterable[str]) -> dict[str, tuple[int, ...]]:
+        """The ids of words not in the table of the latest ones; two tables take turns, so that memory is bounded."""
+        got = {w: self.older.get(w) for w in words}
+        new = [w for w, found in got.items() if found is None]
+        for w in new:
+            got[w] = tuple(self.merge(w))
+        if new:
+            self.check(new, [got[w] for w in new])
+        for w, ids in got.items():
+            if len(w) <= SHORT:
+                if len(self.kept) >= KEEP_WORDS:
+                    self.kept, self.older = {}, self.kept
+                self.kept[w] = ids
         return got
 
+    def check(self, words: list[str], answers: list[tuple[int, ...]]) -> None:
+        """Compares the ids of each word with the library's, which puts a blank before the text that it is given.
+
+        So words are given to it with a line break before each, where cuts are; a text that is not cut has that blank.
+        """
+        if self.whole:
+            agree = all(self.library.encode(w[1:]) == [*ids] for w, ids in zip(words, answers))
+        else:
+            first, *line = self.head
+            ids = [first, *chain.from_iterable((*line, *ids) for ids in answers)]
+            agree = self.library.encode("".join(["\n" + w for w in words])) == ids
+        if not agree:
+            self.refuse("".join(words))
+
 
 @lru_cache(2)
 def load(path: str) -> Pieces:
@@ -193,8 +227,6 @@ def tokens(docs: DataFrame, path: str | None = None, keep: list[str] | None = No
             for part in wordscan.slices(batch, "text"):
                 texts = [t or "" for t in part.column("text").to_pylist()]
                 got = [model.encode(t) for t in texts]
-                if any(model.library.encode(texts[i]) != got[i][0] for i in range(0, len(texts), CHECK_EVERY)):
-                    got = [(ids, ",".join(map(str, ids))) for ids in map(model.library.encode, texts)]
                 columns = [part.column(c) for c in names]
                 if with_ids:
                     columns.append(pa.array([ids for ids, _ in got], pa.list_(pa.int32())))

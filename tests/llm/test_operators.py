@@ -314,6 +314,42 @@ def test_a_model_of_another_kind_is_refused(monkeypatch):
         pieces.Pieces(pieces.model_path())
 
 
+def test_every_row_is_checked_with_the_library(spark, tmp_path):
+    """A piece of the user that the texts tried at reading do not show, in rows that are not the first of their slice."""
+    import sentencepiece
+    import struct
+
+    piece = b"zqx"
+    path = str(tmp_path / "user.model")
+    with open(pieces.model_path(), "rb") as plain, open(path, "wb") as made:
+        inner = b"\x0a" + bytes([len(piece)]) + piece + b"\x15" + struct.pack("<f", 0.0) + b"\x18\x04"
+        made.write(plain.read() + b"\x0a" + bytes([len(inner)]) + inner)
+    lib = sentencepiece.SentencePieceProcessor(model_file=path)
+    model = pieces.Pieces(path)
+    for text in ["a zqx b", "first\nzqx", "x" * 99 + "zqx", "a zqx b"]:  # after a refusal nothing wrong is in the table
+        assert lib.get_piece_size() - 1 in lib.encode(text)
+        with pytest.raises(ValueError, match="no plain merge-type model"):
+            model.encode(text)
+    for text in ["a b", "first\nz q x", "it's, \n\n  well"]:
+        assert model.encode(text)[0] == lib.encode(text)
+    for at in (0, 1, 70):
+        rows = spark.createDataFrame([(i, "a zqx b" if i == at else "plain text") for i in range(72)], "doc_id long, text string").coalesce(1)
+        with pytest.raises(Exception, match="no plain merge-type model"):
+            pieces.tokens(rows, path).collect()
+
+
+def test_texts_that_the_library_normalises_are_refused():
+    model = pieces.Pieces(pieces.model_path())
+
+    class Other:
+        def normalize(self, text):
+            return model_library.normalize(text).replace("ﬁ", "fi")
+
+    model_library, model.library = model.library, Other()
+    with pytest.raises(ValueError, match="no plain merge-type model"):
+        model.encode("ﬁn")
+
+
 PAGE = """<html><head><title>t</title><script>"</p>"</script></head><body><header>Top</header><nav><a>Menu</a></nav>
 <div class="post"><h1>Title %d</h1><p>Body &amp; <b>text</b> %d<br>more<p>Second %d</div><div class="legal">Same on all pages</div>
 <section id="comments">Nice!</section><form>Name</form><footer>&copy; us</footer></body>"""
